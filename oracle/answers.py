@@ -703,6 +703,37 @@ answer("error_union", "SELECT error_category, actual, count(*) AS errors FROM (S
 
 # ------------------------------------------------------------------ streams and whole runs
 
+from oracle.base import CTES
+
+_no_sources = {n: f"SELECT * FROM ({CTES[n]}) WHERE false" for n in ("evidence", "model_output")}
+ANSWERS["enrich_stream"] = query("SELECT _ordinal, brand, category, confidence, invoice_desc, needs_review FROM enriched", _no_sources)
+answer(
+    "telemetry_windows",
+    "SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, stage, count(*) AS records, sum(processing_time_ms::DECIMAL(12, 2))::DOUBLE AS total_ms, max(processing_time_ms::DECIMAL(12, 2))::DOUBLE AS max_ms, count_if(status = 'ERROR')::BIGINT AS failures "
+    "FROM (SELECT *, date_trunc('hour', ts) AS w FROM tracking) GROUP BY w, stage HAVING w + INTERVAL '1 hour' <= (SELECT max(ts) - INTERVAL '10 minutes' FROM tracking)",
+)
+answer(
+    "review_state_stream",
+    f"SELECT review_id, action_id, 'HITL_REVIEW_' || {_status} AS event_type, {_status} AS status, last_value(new_value IGNORE NULLS) OVER w AS current_value, coalesce(reviewer, 'catalog_specialist') AS reviewer, row_number() OVER w AS sequence FROM review_actions WINDOW w AS (PARTITION BY review_id ORDER BY ts, action_id ROWS UNBOUNDED PRECEDING)",
+)
+_v = lambda n: f"nullif(list_filter(raw_specs, lambda s: s.k = {q(n)})[1].v, '')"
+cte(
+    "fact_cols",
+    f"SELECT _ordinal, {strip('coalesce(nullif(brand, ' + q('') + '), ' + q('Unbranded') + ')')} AS b, coalesce(nullif(f_item_type, ''), 'Product') AS t, {_v('Series')} AS ser, {_v('With')} AS wi, nullif(f_mounting, '') AS mo, {_v('Number of Wash Cycles')} AS cy, nullif(f_voltage, '') AS vo, {_v('Amperage')} AS am, nullif(f_dimensions, '') AS sz, "
+    f"{_v('DepthWithDoorOpen')} AS dp, {_v('Minimum Height')} AS mi, {_v('SoundLevel')} AS so, nullif(f_material, '') AS ma, {_v('Color')} AS co, {_v('Warranty')} AS ad, {strip('coalesce(Mfg_Part_Num, ' + q('') + ')')} AS m FROM enriched",
+)
+_tail = "coalesce(', ' || mo || ' Mounting', '') || coalesce(', ' || cy || '-Wash Cycle', '') || coalesce(', ' || ma, '') || coalesce(', ' || co, '')"
+_st2 = "CASE WHEN contains(lower(ma), 'stainless') THEN 'SST' END"
+_ew = lambda x, w, t: f"CASE WHEN ends_with({x}, '{w}') THEN {x} ELSE {x} || '{t}' END"
+_cw = lambda x, w, t: f"CASE WHEN contains({x}, '{w}') THEN {x} ELSE {x} || '{t}' END"
+answer(
+    "channel_descriptions_v2",
+    "SELECT _ordinal, substr(concat_ws(', ', nullif(b, ''), t, ser, nullif(m, ''), mo || ' Mounting'), 1, 80) AS mobile_desc, "
+    f"substr(concat_ws(' ', upper(t), CASE WHEN contains(lower(mo), 'built') THEN 'BLTLN' ELSE upper(mo) END, {_st2}, {_st2}, vo || 'V', am || 'A', so || 'DBA'), 1, 40) AS invoice_desc, "
+    f"{strip('b || coalesce(' + q(' ') + ' || ser, ' + q('') + ') || ' + q(' ') + ' || m || ' + q(' ') + ' || t || coalesce(' + q(' ') + ' || wi, ' + q('') + ') || ' + _tail)} AS short_desc, "
+    f"concat_ws(', ', b || ' ' || t || coalesce(' ' || wi, ''), ser, {_ew('cy', 'Cycles', ' Wash Cycles')}, {_ew('vo', 'V', ' V')}, {_ew('am', 'A', ' A')}, mo || ' Mounting', sz, {_cw('dp', 'Depth', ' in Depth With Door Open')}, {_cw('mi', 'Height', ' Minimum Height')}, {_cw('so', 'Sound', ' dBA Sound Level')}, ma, co, 'Additional Information: ' || ad) AS long_desc1, "
+    f"{strip('concat_ws(' + q(' ') + ', ser, t) || ' + _tail)} AS retail_desc, '' AS marketing_description FROM fact_cols",
+)
 answer("progress_stream", f"SELECT {_prog}, count_if(confidence >= 0.90)::BIGINT AS high_confidence_count FROM tracking GROUP BY 1")
 answer("ingest_dedup_stream", "SELECT DISTINCT upper(Mfg_Part_Num) AS mpn_key FROM feed WHERE Mfg_Part_Num <> ''")
 answer(

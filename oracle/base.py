@@ -147,17 +147,18 @@ def cte(name: str, sql: str) -> None:
     CTES[name] = sql
 
 
-def query(sql: str) -> str:
+def query(sql: str, replaced: dict[str, str] | None = None) -> str:
     """Prefix ``sql`` with the named tables it uses, in the order they were defined."""
+    tables = {**CTES, **(replaced or {})}
     needed: set[str] = set()
     todo = [sql]
     while todo:
         text = todo.pop()
-        for name in set(re.findall(r"[a-z_][a-z_0-9]*", text)) & CTES.keys():
+        for name in set(re.findall(r"[a-z_][a-z_0-9]*", text)) & tables.keys():
             if name not in needed:
                 needed.add(name)
-                todo.append(CTES[name])
-    parts = [f"{n} AS MATERIALIZED ({CTES[n]})" for n in CTES if n in needed]
+                todo.append(tables[name])
+    parts = [f"{n} AS MATERIALIZED ({tables[n]})" for n in tables if n in needed]
     if parts and sql.startswith("WITH "):
         return "WITH " + ",\n".join(parts) + ",\n" + sql[len("WITH "):]
     return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + sql
@@ -466,7 +467,7 @@ cte(
     "flags",
     "SELECT _ordinal, count(v.action) AS n_violations, NOT coalesce(bool_or(action = 'rejected'), false) AS passed_lov, "
     "NOT coalesce(bool_or(action IN ('missing_required', 'evidence_conflict')), false) AS passed_rules, "
-    "count_if(action IN ('missing_required', 'rejected', 'evidence_conflict')) AS n_reasons FROM final LEFT JOIN violations v USING (_ordinal) GROUP BY 1",
+    "coalesce(count_if(action IN ('missing_required', 'rejected', 'evidence_conflict')), 0) AS n_reasons FROM final LEFT JOIN violations v USING (_ordinal) GROUP BY 1",
 )
 
 # ------------------------------------------------------------------ channel texts
@@ -615,7 +616,7 @@ cte(
 )
 cte(
     "slot_extra",
-    "SELECT _ordinal, 15 + row_number() OVER (PARTITION BY _ordinal ORDER BY pos) AS slot, k AS label, v FROM spec_long l "
+    "SELECT _ordinal, row_number() OVER (PARTITION BY _ordinal ORDER BY pos) AS rn, k AS label, v FROM spec_long l "
     f"WHERE {strip('coalesce(v, ' + q('') + ')')} <> '' AND lower(k) NOT IN ({words(V.SLOT_EXCLUDED_SPECS)}) AND NOT starts_with(lower(k), 'item_features') "
     "AND NOT EXISTS (SELECT 1 FROM slot_hits h WHERE h._ordinal = l._ordinal AND h.hit.k = l.k)",
 )
@@ -627,5 +628,5 @@ cte(
     f"CASE WHEN {_unit} IN ({words(V.SLOT_UOMS)}) THEN {_unit} ELSE '' END AS uom FROM ("
     f"SELECT o._ordinal, r.slot, r.label, h.hit.v AS v FROM (SELECT _ordinal, CASE {_kinds} ELSE 'default' END AS slot_kind FROM specs) o "
     "JOIN (SELECT DISTINCT slot_kind, slot, label FROM slot_rows) r USING (slot_kind) LEFT JOIN slot_hits h ON h._ordinal = o._ordinal AND h.slot = r.slot "
-    "UNION ALL SELECT _ordinal, slot, label, v FROM slot_extra WHERE slot <= 50)",
+    "UNION ALL SELECT _ordinal, rn + 15, label, v FROM slot_extra WHERE rn <= 35)",
 )

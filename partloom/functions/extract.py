@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from partloom.functions.text import strip, title_each
+from partloom.functions.text import let, strip, title_each
 from partloom.functions.units import space_units
 from partloom.vocab import DEFAULT, Vocabulary
 
@@ -97,12 +97,53 @@ WASH_CYCLES = r"(?i)\b(\d+)[- ](?:wash|cycle)\b"
 LEADING_PART_NUMBER = r"^([A-Z0-9\-]+)"
 
 
+# Lower-case text every match of a rule contains (one of them, when several are given).  Looking for
+# it costs a fraction of the regex, and most rules do not apply to most descriptions.
+_HINTS = {
+    "Dishwasher": "dish", "Faucets": "faucet rinse spout", "Stainless Steel": "ss", "Brass": "brass",
+    "Chrome Plated Brass": "chrome", "Copper": "copper", "Cast Iron": "cast", "Ductile Iron": "ductile",
+    "Aluminum": "alum", "Aluminum Oxide": "alum alox", "Zirconia Alumina": "zirconia",
+    "Carbide": "carbide", "Carbon Steel": "carbon metal", "Built-In": "built", "Deck Mount": "deck",
+    "Wall Mount": "wall", "Centerset": "centerset", "Widespread": "widespread", "Single Hole": "single",
+    "Freestanding": "freestanding", "Leg": "leg", "Pre-Rinse Faucet": "rinse",
+    "Kitchen Faucet": "faucet", "Lavatory Faucet": "faucet", "Commercial Faucet": "faucet",
+    "Faucet": "faucet", "Elbow": "elbow", "Tee": "tee", "Coupling": "coupling", "Adapter": "adapter",
+    "Union": "union", "Pipe Fitting": "fitting", "Flange": "flange", "Cut-Off Disc": "cut",
+    "Sanding Belt": "sanding", "Abrasive Disc": "abrasive stikit abranet hiolit",
+    "Grinding Wheel": "grinding", "Saw Blade": "blade", "Drill Bit": "bit",
+    "Refrigerator": "refrigerator", "Range": "range oven", "Washing Machine": "wash", "Dryer": "dryer",
+    "Chrome": "chrome cp", "Brushed Nickel": "nickel bn", "Matte Black": "black mb",
+}
+
+
+def _holds(text: Column, words: str) -> Column:
+    first, *rest = words.split()
+    test = F.contains(text, F.lit(first))
+    for word in rest:
+        test = test | F.contains(text, F.lit(word))
+    return test
+
+
 def first_rule(c: Column, rules: list[tuple[str, str]], default: str | None = None) -> Column:
-    (label, pattern), *rest = rules
-    chain = F.when(c.rlike(f"(?i){pattern}"), label)
-    for label, pattern in rest:
-        chain = chain.when(c.rlike(f"(?i){pattern}"), label)
-    return chain.otherwise(F.lit(default))
+    """Label of the first rule that matches."""
+
+    def chain(text: Column) -> Column:
+        out = None
+        for label, pattern in rules:
+            test = text.rlike(f"(?i){pattern}")
+            if label in _HINTS:
+                test = _holds(text, _HINTS[label]) & test
+            out = F.when(test, label) if out is None else out.when(test, label)
+        return out.otherwise(F.lit(default))
+
+    return let(F.lower(c), chain)
+
+
+# the same for measured attributes; a pattern that is not listed is always tried
+_CAPTURE_HINTS = {
+    "FLOW_RATE": "gpm gal/min", "PRESSURE_PSI": "psi", "PRESSURE_LB": "lb #", "SOUND_LEVEL": "db",
+    "WASH_CYCLES": "wash cycle",
+}
 
 
 def capture(c: Column, pattern: str, suffix: str = "", prefix: str = "", group: int = 1) -> Column:
@@ -110,7 +151,11 @@ def capture(c: Column, pattern: str, suffix: str = "", prefix: str = "", group:
     hit = F.regexp_extract(c, pattern, group)
     if prefix or suffix:
         hit = F.concat(F.lit(prefix), hit, F.lit(suffix))
-    return F.when(c.rlike(pattern), hit)
+    test = c.rlike(pattern)
+    for name, words in _CAPTURE_HINTS.items():
+        if globals()[name] == pattern:
+            test = _holds(F.lower(c), words) & test
+    return F.when(test, hit)
 
 
 def category(desc: Column, mpn: Column, brand: Column) -> Column:
@@ -158,7 +203,7 @@ def part_number(c: Column) -> Column:
 
 
 def _connection(c: Column) -> Column:
-    thread = F.when(c.rlike(PIPE_THREAD), F.upper(F.regexp_extract(c, PIPE_THREAD, 1)))
+    thread = F.when(_holds(F.lower(c), "npt") & c.rlike(PIPE_THREAD), F.upper(F.regexp_extract(c, PIPE_THREAD, 1)))
     joint = F.when(
         c.rlike(CONNECTION), title_each(F.lower(F.regexp_extract(c, CONNECTION, 1)))
     )

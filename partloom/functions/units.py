@@ -69,14 +69,17 @@ def standard_unit(c: Column, vocab: Vocabulary = DEFAULT) -> Column:
 
 def split_value_unit(c: Column) -> Column:
     """``120 V`` to (120, V) for the units delivery slots keep apart; else (value, '')."""
-    value = strip(c)
-    unit = F.regexp_extract(value, VALUE_WITH_UNIT, 2)
-    return F.when(
-        unit.isin(SLOT_UOMS),
-        F.struct(
-            strip(F.regexp_extract(value, VALUE_WITH_UNIT, 1)).alias("value"), unit.alias("uom")
-        ),
-    ).otherwise(F.struct(value.alias("value"), F.lit("").alias("uom")))
+
+
+    def split(value: Column) -> Column:
+        unit = F.regexp_extract(value, VALUE_WITH_UNIT, 2)
+        number = strip(F.regexp_extract(value, VALUE_WITH_UNIT, 1))
+        return F.when(
+            value.rlike(VALUE_WITH_UNIT) & unit.isin(SLOT_UOMS),
+            F.struct(number.alias("value"), unit.alias("uom")),
+        ).otherwise(F.struct(value.alias("value"), F.lit("").alias("uom")))
+
+    return let(strip(c), split)
 
 
 def numeric_sanity(field: Column, value: Column) -> Column:

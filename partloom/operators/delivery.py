@@ -9,7 +9,7 @@ from partloom import vocab as V
 from partloom.functions.extract import spec
 from partloom.functions.invoice import compress_invoice
 from partloom.functions.text import (
-    blank_to_null, clean_placeholders, literal_table, lookup, strip, text_or,
+    blank_to_null, clean_placeholders, let, literal_table, lookup, strip, text_or,
 )
 from partloom.functions.units import split_value_unit
 from partloom.operators.attributes import SPECS_TYPE, attribute_columns, spec_value
@@ -308,8 +308,12 @@ def _normal_name(c: Column) -> Column:
 
 
 def _slot(label: Column, value: Column) -> Column:
-    split = split_value_unit(F.coalesce(value, F.lit("")))
-    return F.struct(label.alias("label"), split["value"].alias("value"), split["uom"].alias("uom"))
+    empty = F.struct(label.alias("label"), F.lit("").alias("value"), F.lit("").alias("uom"))
+    split = let(
+        split_value_unit(value),
+        lambda v: F.struct(label.alias("label"), v["value"].alias("value"), v["uom"].alias("uom")),
+    )
+    return F.when(value != "", split).otherwise(empty)
 
 
 def _blank_slot() -> Column:

@@ -55,10 +55,10 @@ def desc(s: SparkSession, d: str) -> DataFrame:
 # ------------------------------------------------------------------ sources and sinks
 
 
-def _feed_files(s: SparkSession, d: str, encoding: str | None = None) -> str:
+def _feed_files(s: SparkSession, d: str) -> str:
     path = work_dir(s, "feed-csv")
     rows = feeds.feed(s, d).select(*V.FEED_COLUMNS, K)
-    rows.write.options(header=True, quote='"', escape='"', emptyValue="").csv(path)
+    rows.write.options(**files.WRITE_CSV).csv(path)
     return path
 
 
@@ -77,9 +77,9 @@ def feed_encoding_fallback(s, d):
     rows = feeds.feed(s, d).select(
         "Mfg_Part_Num", F.concat("Part_Desc", F.lit(" façade")).alias("Part_Desc"), "Part_Manuf", K
     )
-    opts = dict(header=True, quote='"', escape='"', emptyValue="")
-    rows.where("_ordinal % 2 = 0").write.options(**opts, encoding="UTF-8").csv(f"{path}/a")
-    rows.where("_ordinal % 2 = 1").write.options(**opts, encoding="windows-1252").csv(f"{path}/b")
+    for part, encoding in enumerate(("UTF-8", "ISO-8859-1")):
+        half = rows.where(c(K) % 2 == part)
+        half.write.options(**files.WRITE_CSV, encoding=encoding).csv(f"{path}/{part}")
     read = files.read_feed_any_encoding(s, path, rows.columns)
     return read.select(
         c(K).cast("bigint").alias(K), F.coalesce("Mfg_Part_Num", F.lit("")).alias("mpn"), c("Part_Desc").alias("description"),
@@ -782,12 +782,14 @@ def progress_stream(s, d):
 @query
 def telemetry_windows(s, d):
     out, mark = work_dir(s, "windows"), work_dir(s, "windows-mark")
-    rows = feeds.tracking(s, d).select("ts", "stage", "status", c("processing_time_ms").cast("decimal(12,2)").alias("ms"))
+    rows = feeds.tracking(s, d).select(
+        c("ts").cast("timestamp").alias("ts"), "stage", "status", c("processing_time_ms").cast("decimal(12,2)").alias("ms")
+    )
     windows = jobs.telemetry_windows(_stream(s, d, "windows-in", rows, order="ts"), "ts", "stage", "ms")
     q = jobs.windows_to(windows, out, mark)
     done = _finish(s, q, out, windows.schema)
     return done.select(
-        F.unix_seconds("window_start").alias("window_start"), "stage", "records", c("total_ms").cast("double").alias("total_ms"),
+        F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "stage", "records", c("total_ms").cast("double").alias("total_ms"),
         c("max_ms").cast("double").alias("max_ms"), "failures",
     )
 
