@@ -105,13 +105,14 @@ def channel_descriptions(
 ) -> DataFrame:
     """Add the five channel texts of ``final`` and ``raw_specs``."""
     a = {n: _filled(c) for n, c in attribute_columns("final").items()}
-    df = df.withColumn(
-        "_s", F.struct(*[_filled(spec_value(F.col("raw_specs"), n)).alias(n) for n in _DESCRIBED_SPECS])
-    )
-    df = (
-        df.withColumn("_type", F.coalesce(strip(a["item_type"]), F.lit("Commercial Product")))
-        .withColumn("_brand", F.coalesce(strip(_filled(brand)), F.lit("UNASSIGNED")))
-        .withColumn("_mpn", F.coalesce(strip(mpn), F.lit("")))
+    wanted = [_filled(spec_value(F.col("raw_specs"), n)).alias(n) for n in _DESCRIBED_SPECS]
+    df = df.withColumns(
+        {
+            "_s": F.struct(*wanted),
+            "_type": F.coalesce(strip(a["item_type"]), F.lit("Commercial Product")),
+            "_brand": F.coalesce(strip(_filled(brand)), F.lit("UNASSIGNED")),
+            "_mpn": F.coalesce(strip(mpn), F.lit("")),
+        }
     )
     s = {n: F.col("_s")[n] for n in _DESCRIBED_SPECS}
     kind, who, part = F.col("_type"), F.col("_brand"), F.col("_mpn")
@@ -148,30 +149,21 @@ def channel_descriptions(
         s["Color"],
         F.concat(F.lit("Additional Information: "), s["Additional Information"]),
     )
-    df = df.withColumn("_invoice", _invoice_parts(a, s)).withColumn("_mobile", mobile)
-    return (
-        df.withColumn("invoice_desc", compress_invoice(F.col("_invoice")))
-        .withColumn(
-            "mobile_desc",
-            F.when(F.length("_mobile") > MOBILE_LIMIT, F.rtrim(F.substring("_mobile", 1, MOBILE_LIMIT)))
-            .otherwise(F.col("_mobile")),
-        )
-        .withColumn(
-            "short_desc",
-            F.concat_ws(
-                ", ", who, s["Series"], part, kind, s["With"], mounted, wash, a["material"], other_color
-            ),
-        )
-        .withColumn("long_desc", long_text)
-        .withColumn(
-            "product_title",
-            F.concat_ws(
-                ", ", who, F.when(F.lower(s["Series"]) != F.lower(who), s["Series"]), kind, mounted,
-                wash, a["material"], other_color,
-            ),
-        )
-        .drop("_s", "_type", "_brand", "_mpn", "_invoice", "_mobile")
+    df = df.withColumns({"_invoice": _invoice_parts(a, s), "_mobile": mobile})
+    cut = F.when(
+        F.length("_mobile") > MOBILE_LIMIT, F.rtrim(F.substring("_mobile", 1, MOBILE_LIMIT))
+    ).otherwise(F.col("_mobile"))
+    short = F.concat_ws(
+        ", ", who, s["Series"], part, kind, s["With"], mounted, wash, a["material"], other_color
     )
+    own_series = F.when(F.lower(s["Series"]) != F.lower(who), s["Series"])
+    title = F.concat_ws(", ", who, own_series, kind, mounted, wash, a["material"], other_color)
+    return df.withColumns(
+        {
+            "invoice_desc": compress_invoice(F.col("_invoice")), "mobile_desc": cut, "short_desc": short,
+            "long_desc": long_text, "product_title": title,
+        }
+    ).drop("_s", "_type", "_brand", "_mpn", "_invoice", "_mobile")
 
 
 def fact_descriptions(facts: dict[str, Column]) -> dict[str, Column]:

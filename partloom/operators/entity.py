@@ -144,7 +144,8 @@ def add_brand_match(
     df = df.withColumn(
         query, F.when(F.col(known)["score"] == 0, blank_to_null(comparable(F.col(text))))
     )
-    df = df.withColumn(words, _tokens(F.col(query))).withColumn(line, F.array_join(words, " "))
+    tokens = _tokens(F.col(query))
+    df = df.withColumns({words: tokens, line: F.array_join(tokens, " ")})
     scored = F.transform(
         _brand_entries(vocab),
         lambda b: F.struct(
@@ -224,14 +225,15 @@ def resolve_entity(
         )
     )
     df = df.withColumn("_hit", chosen).drop("_prefix", "_desc", "_named", "_maker")
-    return (
-        df.withColumn("brand", F.col("_hit.brand"))
-        .withColumn("manufacturer", manufacturer_of(F.col("_hit.brand"), vocab))
-        .withColumn("supplier", F.coalesce(strip(F.col(raw_manuf)), F.lit("")))
-        .withColumn("brand_score", F.col("_hit.score"))
-        .withColumn("brand_source", F.col("_hit.source"))
-        .drop("_hit")
-    )
+    return df.withColumns(
+        {
+            "brand": F.col("_hit.brand"),
+            "manufacturer": manufacturer_of(F.col("_hit.brand"), vocab),
+            "supplier": F.coalesce(strip(F.col(raw_manuf)), F.lit("")),
+            "brand_score": F.col("_hit.score"),
+            "brand_source": F.col("_hit.source"),
+        }
+    ).drop("_hit")
 
 
 def alias_table(spark, vocab: Vocabulary = DEFAULT) -> DataFrame:

@@ -70,42 +70,47 @@ def _category_table(tables: dict[str, dict], field: str, expand) -> dict[str, st
     }
 
 
-def add_lov_check(
-    df: DataFrame, field: str, category: str, value: Column, vocab: Vocabulary = DEFAULT
+def add_lov_checks(
+    df: DataFrame, category: str, values: dict[str, Column], vocab: Vocabulary = DEFAULT
 ) -> DataFrame:
-    """Add ``lov_<field>`` = (value, action, raw): canonical spelling, synonym, or rejection.
+    """Add ``lov_<field>`` = (value, action, raw) per field: canonical spelling, synonym, or rejection.
 
     ``action`` is null for a value in the vocabulary (and for categories without one).
     """
-    allowed = _category_table(vocab.category_lovs, field, lambda vs: [(v.lower(), v) for v in vs])
-    synonyms = _category_table(vocab.category_synonyms, field, lambda d: d.items())
-    bound = [c for c, fields in vocab.category_lovs.items() if field in fields]
-    vocab.check_inline(allowed)
-    cleaned, key = f"_{field}_clean", f"_{field}_key"
-    applies = F.col(category).isin(bound) & (value != "")
-    df = df.withColumn(cleaned, F.when(applies, clean_placeholders(value)))
-    df = df.withColumn(key, F.concat(F.col(category), F.lit("|"), F.lower(F.col(cleaned))))
-    df = df.withColumn(
-        f"_{field}_hit",
-        F.struct(lookup(allowed, F.col(key)).alias("exact"), lookup(synonyms, F.col(key)).alias("synonym")),
-    )
+    applies, cleaned, keys, hits, outcomes = {}, {}, {}, {}, {}
+    for field, value in values.items():
+        allowed = _category_table(vocab.category_lovs, field, lambda vs: [(v.lower(), v) for v in vs])
+        synonyms = _category_table(vocab.category_synonyms, field, lambda d: d.items())
+        bound = [c for c, fields in vocab.category_lovs.items() if field in fields]
+        vocab.check_inline(allowed)
+        applies[field] = F.coalesce(F.col(category).isin(bound) & (value != ""), F.lit(False))
+        cleaned[f"_{field}_clean"] = F.when(applies[field], clean_placeholders(value))
+        raw = F.col(f"_{field}_clean")
+        keys[f"_{field}_key"] = F.concat(F.col(category), F.lit("|"), F.lower(raw))
+        key = F.col(f"_{field}_key")
+        hits[f"_{field}_hit"] = F.struct(
+            lookup(allowed, key).alias("exact"), lookup(synonyms, key).alias("synonym")
+        )
+        outcomes[f"lov_{field}"] = _lov_outcome(field, value, applies[field], raw)
+    df = df.withColumns(cleaned).withColumns(keys).withColumns(hits).withColumns(outcomes)
+    return df.drop(*cleaned, *keys, *hits)
+
+
+def _lov_outcome(field: str, value: Column, applies: Column, raw: Column) -> Column:
     exact, synonym = F.col(f"_{field}_hit.exact"), F.col(f"_{field}_hit.synonym")
 
     def outcome(v: Column, action: str | None) -> Column:
         return F.struct(
-            v.alias("value"),
-            F.lit(action).cast("string").alias("action"),
-            F.col(cleaned).alias("raw"),
+            v.alias("value"), F.lit(action).cast("string").alias("action"), raw.alias("raw")
         )
 
-    return df.withColumn(
-        f"lov_{field}",
-        F.when(~F.coalesce(applies, F.lit(False)), outcome(value, None))
-        .when(F.col(cleaned).isNull(), outcome(F.lit(None), None))
+    return (
+        F.when(~applies, outcome(value, None))
+        .when(raw.isNull(), outcome(F.lit(None), None))
         .when(exact.isNotNull(), outcome(exact, None))
         .when(synonym.isNotNull(), outcome(synonym, "normalized"))
-        .otherwise(outcome(value, "rejected")),
-    ).drop(cleaned, key, f"_{field}_hit")
+        .otherwise(outcome(value, "rejected"))
+    )
 
 
 def _lov_violation(field: str, category: Column) -> Column:
@@ -154,8 +159,7 @@ def validate_attributes(
     Expects ``attrs`` and ``ev`` (null without evidence).
     """
     attrs = attribute_columns()
-    for name in LOV_FIELDS:
-        df = add_lov_check(df, name, category, attrs[name], vocab)
+    df = add_lov_checks(df, category, {n: attrs[n] for n in LOV_FIELDS}, vocab)
     normalized = {n: F.col(f"lov_{n}.value") if n in LOV_FIELDS else attrs[n] for n in ATTRIBUTES}
     normalized["voltage"] = F.when(
         normalized["voltage"] != "", space_units(normalized["voltage"], vocab)
@@ -200,20 +204,17 @@ def add_validation_flags(df: DataFrame) -> DataFrame:
             )
         )
 
-    df = (
-        df.withColumn("passed_lov", ~F.array_contains(actions, "rejected"))
-        .withColumn(
-            "passed_rules",
-            ~F.arrays_overlap(actions, F.array(F.lit("missing_required"), F.lit("evidence_conflict"))),
-        )
-        .withColumn(
-            "review_reasons",
-            F.filter(F.transform("violations", reason), lambda r: r.isNotNull()),
-        )
-    )
-    return df.withColumn("is_valid", F.col("passed_lov") & F.col("passed_rules")).withColumn(
-        "validator_review", ~F.col("is_valid")
+    df = df.withColumns(
+        {
+            "passed_lov": ~F.array_contains(actions, "rejected"),
+            "passed_rules": ~F.arrays_overlap(
+                actions, F.array(F.lit("missing_required"), F.lit("evidence_conflict"))
+            ),
+            "review_reasons": F.filter(F.transform("violations", reason), lambda r: r.isNotNull()),
+        }
     )
+    valid = F.col("passed_lov") & F.col("passed_rules")
+    return df.withColumns({"is_valid": valid, "validator_review": ~valid})
 
 
 def add_confidence(
@@ -222,34 +223,34 @@ def add_confidence(
     """Add the confidence breakdown of ``final`` as columns."""
     values = attribute_columns("final")
     texts = [values[n] for n in ATTRIBUTES]
-    df = (
-        df.withColumn("provenance_score", S.provenance(source_type))
-        .withColumn("_lov", S.lov_counts(values, vocab))
-        .withColumn("has_glued_uom", S.has_glued_unit(*texts))
-        .withColumn("has_decimal_inch", S.has_decimal_inch(*texts))
+    df = df.withColumns(
+        {
+            "provenance_score": S.provenance(source_type),
+            "_lov": S.lov_counts(values, vocab),
+            "has_glued_uom": S.has_glued_unit(*texts),
+            "has_decimal_inch": S.has_decimal_inch(*texts),
+        }
     )
-    df = df.withColumn(
-        "lov_score", S.lov_score(F.col("_lov.checked"), F.col("_lov.valid"))
-    ).withColumn(
-        "rule_score", S.rule_score(invoice, F.col("has_glued_uom"), F.col("has_decimal_inch"))
+    df = df.withColumns(
+        {
+            "lov_score": S.lov_score(F.col("_lov.checked"), F.col("_lov.valid")),
+            "rule_score": S.rule_score(invoice, F.col("has_glued_uom"), F.col("has_decimal_inch")),
+        }
     )
     df = df.withColumn(
         "confidence",
         S.confidence(F.col("provenance_score"), F.col("lov_score"), F.col("rule_score")),
     )
-    return (
-        df.withColumn("review_tier", S.tier(F.col("confidence")))
-        .withColumn("lov_checked", F.col("_lov.checked"))
-        .withColumn("lov_valid", F.col("_lov.valid"))
-        .withColumn(
-            "field_confidences",
-            S.field_confidences(
-                values, F.col("provenance_score"), F.col("has_glued_uom"),
-                F.col("has_decimal_inch"), vocab,
+    return df.withColumns(
+        {
+            "review_tier": S.tier(F.col("confidence")),
+            "lov_checked": F.col("_lov.checked"),
+            "lov_valid": F.col("_lov.valid"),
+            "field_confidences": S.field_confidences(
+                values, F.col("provenance_score"), F.col("has_glued_uom"), F.col("has_decimal_inch"), vocab
             ),
-        )
-        .drop("_lov")
-    )
+        }
+    ).drop("_lov")
 
 
 def add_explanation(df: DataFrame) -> DataFrame:

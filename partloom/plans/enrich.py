@@ -24,16 +24,24 @@ _EMPTY_EVIDENCE = (
 _EMPTY_MODEL = A.MODEL_SCHEMA
 
 
+def spread_for(feed: DataFrame) -> int | None:
+    """Task count for an input that would not keep the executors busy, else None."""
+    cores = feed.sparkSession.sparkContext.defaultParallelism
+    return cores if feed.rdd.getNumPartitions() < cores else None
+
+
 def prepare(feed: DataFrame) -> DataFrame:
     """Cleaned texts and the one brand column that says something."""
     named = [F.when(~strip(F.col(c)).isin(V.BRAND_PLACEHOLDERS), blank_to_null(F.col(c))) for c in V.BRAND_DEFAULTS]
     df = feed.withColumn("raw_brand", F.coalesce(*named))
     empty = ~present(F.col("Mfg_Part_Num")) & ~present(F.col("Part_Desc"))
-    return (
-        df.withColumn("status", F.when(empty, "ERROR").otherwise("SUCCESS"))
-        .withColumn("desc_clean", F.coalesce(clean_placeholders(F.col("Part_Desc")), F.col("Part_Desc")))
-        .withColumn("manuf_clean", clean_placeholders(F.col("Part_Manuf")))
-        .withColumn("brand_clean", clean_placeholders(F.col("raw_brand")))
+    return df.withColumns(
+        {
+            "status": F.when(empty, "ERROR").otherwise("SUCCESS"),
+            "desc_clean": F.coalesce(clean_placeholders(F.col("Part_Desc")), F.col("Part_Desc")),
+            "manuf_clean": clean_placeholders(F.col("Part_Manuf")),
+            "brand_clean": clean_placeholders(F.col("raw_brand")),
+        }
     )
 
 
@@ -49,9 +57,14 @@ def extract(
     evidence: DataFrame | None = None,
     replies: DataFrame | None = None,
     vocab: Vocabulary = DEFAULT,
+    spread: int | None = None,
 ) -> DataFrame:
-    """Resolved feed with ``attrs``, ``raw_specs``, ``spec_sections``, ``ev`` and ``source_mode``."""
-    df = resolve(feed, vocab)
+    """Resolved feed with ``attrs``, ``raw_specs``, ``spec_sections``, ``ev`` and ``source_mode``.
+
+    ``spread`` deals the rows out over that many tasks before the work that is heavy per row.  It is
+    for inputs of few, small files; a large scan has tasks enough and should leave it unset.
+    """
+    df = resolve(feed.repartition(spread) if spread else feed, vocab)
     if evidence is not None:
         df = A.join_evidence(df, A.prepare_evidence(evidence), "brand", "Mfg_Part_Num", "_evidence_ordinal")
     else:
@@ -60,19 +73,21 @@ def extract(
         df = A.join_model_output(df, replies, "Mfg_Part_Num")
     else:
         df = df.withColumn("model", F.lit(None).cast(_EMPTY_MODEL))
+    if spread and (evidence is not None or replies is not None):
+        df = df.repartition(spread)
     df = A.evidence_specs(df, "desc_clean", "category", vocab)
     df = A.heuristic_attributes(df, "desc_clean", "Mfg_Part_Num", vocab)
     df = A.merge_attributes(df, "brand", "Mfg_Part_Num")
     return df.withColumn("spec_sections", F.col("tech.listed")).drop("tech", "tech_specs", "heur", "model")
 
 
-def validated(feed, evidence=None, replies=None, vocab: Vocabulary = DEFAULT) -> DataFrame:
-    return Q.validate_attributes(extract(feed, evidence, replies, vocab), "category", vocab)
+def validated(feed, evidence=None, replies=None, vocab: Vocabulary = DEFAULT, spread: int | None = None) -> DataFrame:
+    return Q.validate_attributes(extract(feed, evidence, replies, vocab, spread), "category", vocab)
 
 
-def scored(feed, evidence=None, replies=None, vocab: Vocabulary = DEFAULT) -> DataFrame:
+def scored(feed, evidence=None, replies=None, vocab: Vocabulary = DEFAULT, spread: int | None = None) -> DataFrame:
     """Validated rows with channel texts, confidence, tier and the review decision."""
-    df = validated(feed, evidence, replies, vocab)
+    df = validated(feed, evidence, replies, vocab, spread)
     df = D.channel_descriptions(
         df,
         F.coalesce(F.col("final.brand"), F.col("brand")),
@@ -80,20 +95,20 @@ def scored(feed, evidence=None, replies=None, vocab: Vocabulary = DEFAULT) -> Da
     )
     df = Q.add_confidence(df, F.col("invoice_desc"), F.col("source_mode"), vocab)
     failed = F.col("status") == "ERROR"
-    return (
-        df.withColumn("source_mode", F.when(failed, "ERROR").otherwise(F.col("source_mode")))
-        .withColumn("confidence", F.when(failed, F.lit(0.0)).otherwise(F.col("confidence")))
-        .withColumn("review_tier", F.when(failed, "HITL_REQUIRED").otherwise(F.col("review_tier")))
-        .withColumn(
-            "needs_review",
-            failed | F.col("validator_review") | (F.col("review_tier") != "AUTO_APPROVED"),
-        )
+    tier = F.when(failed, "HITL_REQUIRED").otherwise(F.col("review_tier"))
+    return df.withColumns(
+        {
+            "source_mode": F.when(failed, "ERROR").otherwise(F.col("source_mode")),
+            "confidence": F.when(failed, F.lit(0.0)).otherwise(F.col("confidence")),
+            "review_tier": tier,
+            "needs_review": failed | F.col("validator_review") | (tier != "AUTO_APPROVED"),
+        }
     )
 
 
-def enrich(feed, evidence=None, replies=None, vocab: Vocabulary = DEFAULT) -> DataFrame:
+def enrich(feed, evidence=None, replies=None, vocab: Vocabulary = DEFAULT, spread: int | None = None) -> DataFrame:
     """Everything the delivery record is made of, one narrow row per feed row."""
-    df = D.combined_specs(scored(feed, evidence, replies, vocab))
+    df = D.combined_specs(scored(feed, evidence, replies, vocab, spread))
     df = D.align_slots(df)
     df = df.withColumn(
         "part_key", F.upper(strip(F.coalesce(blank_to_null(F.col("Mfg_Part_Num")), F.col("final.mpn"), F.lit(""))))

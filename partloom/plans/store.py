@@ -26,7 +26,10 @@ def shared(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], Data
 
 def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     def build() -> DataFrame:
-        return P.enrich(feeds.feed(spark, sf_dir), feeds.evidence(spark, sf_dir), feeds.model_output(spark, sf_dir))
+        feed = feeds.feed(spark, sf_dir)
+        return P.enrich(
+            feed, feeds.evidence(spark, sf_dir), feeds.model_output(spark, sf_dir), spread=P.spread_for(feed)
+        )
 
     return shared(spark, sf_dir, "enriched", build)
 

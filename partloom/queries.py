@@ -824,7 +824,8 @@ def ingest_dedup_stream(s, d):
 
 @query
 def enrich(s, d):
-    return P.enrich(feeds.feed(s, d), feeds.evidence(s, d), feeds.model_output(s, d)).select(
+    feed = feeds.feed(s, d)
+    return P.enrich(feed, feeds.evidence(s, d), feeds.model_output(s, d), spread=P.spread_for(feed)).select(
         K, "status", "brand", "manufacturer", "category", "source_mode", *[c(f"final.{n}").alias(n) for n in A.ATTRIBUTES if n != "brand"],
         "invoice_desc", "mobile_desc", "confidence", "review_tier", "needs_review",
     )
