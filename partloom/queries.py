@@ -866,4 +866,6 @@ QUERIES["scorecard"] = lambda s, d: QUERIES["compliance_scorecard"](s, d).select
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean, resolve, classify, extract, validate and score the feed; confidence by category."""
     rows = P.scored(feeds.feed(spark, sf_dir)).select("category", "confidence", c("needs_review").alias("review_required"))
-    return M.confidence_metrics(rows, ["category"])
+    # the metrics read their input twice, and filter it: a filter on a score computed over many
+    # projections would be unfolded through all of them
+    return M.confidence_metrics(materialize(rows, "scored"), ["category"])
