@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partloom.llm import exact_dedup, mixing, simhash
+from partloom.llm import exact_dedup, mixing, packing, simhash, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -88,3 +89,21 @@ FROM n WINDOW same AS (PARTITION BY norm)
 def op10_simhash_neardup(s, d):
     found = simhash.near_duplicates(table(s, d, "documents"))
     return found.select("doc_id", "fingerprint", "component_id")
+
+
+# ------------------------------------------------------------------ 4: token counts
+
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query
+def op4_token_counts(s, d):
+    return token_counts.count_tokens(table(s, d, "documents"), TOKENIZER)
+
+
+# ------------------------------------------------------------------ 5: packing
+
+
+@query
+def op5_sum_of_squares_packing(s, d):
+    return packing.pack(table(s, d, "documents"), TOKENIZER)
