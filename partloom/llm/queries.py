@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partloom.llm import chat, exact_dedup, langid, mixing, packing, simhash, token_counts, topk
+from partloom.llm import chat, exact_dedup, langid, mixing, ngram_lm, packing, simhash, token_counts, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -196,3 +196,42 @@ scored AS (
 SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
 FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
 """
+
+
+# ------------------------------------------------------------------ 2: language model
+
+LM_BACKOFF, LM_MIN_COUNT = 0.4, 2
+
+
+@query
+def op2_stupid_backoff(s, d):
+    return ngram_lm.backoff_scores(table(s, d, "documents"), 2, LM_BACKOFF, LM_MIN_COUNT)
+
+
+def _micro(count: str) -> str:
+    return f"round(log10(({count})::DOUBLE) * 1000000)::BIGINT"
+
+
+ANSWERS["op2_stupid_backoff"] = rf"""
+WITH split AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents
+),
+word AS (SELECT r, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM split),
+pair AS (SELECT a.r, a.i, b.w AS v, a.w FROM word a LEFT JOIN word b ON a.r = b.r AND a.i = b.i + 1),
+ones AS (SELECT w, count(*) AS n FROM word GROUP BY w),
+twos AS (SELECT v, w, count(*) AS n FROM pair WHERE v IS NOT NULL GROUP BY v, w HAVING count(*) >= {LM_MIN_COUNT}),
+corpus AS (SELECT count(*) AS n FROM word),
+scored AS (
+  SELECT pair.r, CASE
+    WHEN twos.n IS NOT NULL THEN {_micro("twos.n")} - {_micro("c.n")}
+    ELSE {_micro("ones.n")} - {_micro("corpus.n")} + CASE WHEN pair.v IS NULL THEN 0 ELSE {_micro(str(LM_BACKOFF))} END
+  END AS units
+  FROM pair JOIN ones ON ones.w = pair.w LEFT JOIN twos ON twos.v = pair.v AND twos.w = pair.w
+  LEFT JOIN ones c ON c.w = pair.v, corpus
+),
+total AS (SELECT r, sum(units)::BIGINT AS units FROM scored GROUP BY r)
+SELECT doc_id, len(words) AS n_tokens, coalesce(units, 0) / 1000000.0::DOUBLE AS score,
+  CASE WHEN len(words) > 0 THEN units / 1000000.0::DOUBLE / len(words) END AS mean_score
+FROM split LEFT JOIN total USING (r)
+"""
