@@ -10,7 +10,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partloom.llm import chat, exact_dedup, langid, mixing, ngram_lm, packing, simhash, token_counts, topk
+from partloom.llm import (
+    chat,
+    exact_dedup,
+    html_text,
+    langid,
+    mixing,
+    ngram_lm,
+    packing,
+    simhash,
+    token_counts,
+    topk,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -235,3 +246,11 @@ SELECT doc_id, len(words) AS n_tokens, coalesce(units, 0) / 1000000.0::DOUBLE AS
   CASE WHEN len(words) > 0 THEN units / 1000000.0::DOUBLE / len(words) END AS mean_score
 FROM split LEFT JOIN total USING (r)
 """
+
+
+# ------------------------------------------------------------------ 8: HTML
+
+
+@query
+def op8_html_layout(s, d):
+    return html_text.extract(table(s, d, "pages"))
