@@ -89,7 +89,7 @@ def quantized(vector: str) -> Column:
 
 def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
     flat = [c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks]
-    return np.concatenate(flat).reshape(-1, dim) if flat else np.zeros((0, dim), np.int64)
+    return np.concatenate([np.zeros(0, np.int64), *flat]).reshape(len(column), dim)
 
 
 def _searcher(k: int):
@@ -138,7 +138,8 @@ def top_k(
     shards, blocks = max(1, -(-count // shard_rows)), max(1, -(-asked // block_queries))
     home = F.pmod(F.xxhash64("vec_id", "row"), F.lit(shards)).cast("int")
     points = rows.select("vec_id", "v", "dim", home.alias("shard"))
-    queries = rows.where(F.col("vec_id") % every == 0)
+    again = rows.select(*[F.col(c).alias(c) for c in rows.columns])  # columns of their own: both sides come from one table
+    queries = again.where(F.col("vec_id") % every == 0)
     queries = queries.withColumn("block", F.pmod(F.xxhash64("row", "vec_id"), F.lit(blocks)).cast("int"))
     queries = queries.withColumn("home", home)
     schema = "query_id long, query_row long, vec_id long, score long"
