@@ -126,8 +126,10 @@ answer(
     "golden_scan",
     f"SELECT match_key, max(_ordinal) AS _ordinal, arg_max({PD}, _ordinal) AS Part_Desc FROM (SELECT *, upper({strip('Mfg_Part_Num')}) AS match_key FROM feed WHERE _ordinal % 4 = 0) WHERE match_key <> '' GROUP BY 1",
 )
-_digest = lambda cols: "('0x' || substr(md5(" + " || '|' || ".join(f"coalesce({x}, '')" for x in cols) + "), 1, 8))::BIGINT"
-answer("dataset_fingerprint", f"SELECT count(*) AS row_count, sum({_digest(V.FEED_COLUMNS)})::BIGINT AS row_digest FROM feed")
+_md5 = lambda cols: "md5(" + " || '|' || ".join(f"coalesce({x}, '')" for x in cols) + ")"
+_half = lambda cols, at: f"sum(('0x' || substr({_md5(cols)}, {at}, 16))::UBIGINT::HUGEINT)::VARCHAR"
+_print = lambda cols: f"count(*) AS row_count, {_half(cols, 1)} AS digest_high, {_half(cols, 17)} AS digest_low"
+answer("dataset_fingerprint", f"SELECT {_print(V.FEED_COLUMNS)} FROM feed")
 cte("overrides", "SELECT lower(p_brand) AS alias, max(p_type) AS brand FROM part GROUP BY 1 UNION ALL SELECT 'bosch', max(p_brand) FROM part WHERE p_partkey % 500 = 0")
 answer("master_dim_load", "SELECT coalesce(o.alias, a.alias) AS alias, coalesce(o.brand, a.brand) AS brand FROM alias_rows a FULL JOIN overrides o USING (alias)")
 answer(
@@ -260,20 +262,25 @@ answer(
 )
 _html = r"regexp_replace(html, '(?s)<!--.*?-->|<![^>]*>', ' ', 'g')"
 for _e in W.DROPPED_ELEMENTS:
-    _rx = r"(?is)<embed\b[^>]*>" if _e == "embed" else rf"(?is)<{_e}\b[^>]*>.*?</{_e}\s*>"
+    _rx = r"(?is)<embed\b[^>]*>" if _e == "embed" else rf"(?is)<{_e}\b[^>]*>.*?(?:</{_e}\s*>|\z)"
     _html = f"regexp_replace({_html}, {q(_rx)}, ' ', 'g')"
 _html = f"regexp_replace({_html}, '(?s)<[/a-zA-Z][^>]*>', ' ', 'g')"
-for _ent, _ch in W.ENTITIES:
+_num = r"regexp_extract(e, '([0-9a-fA-F]+);', 1)"
+_code = f"(CASE WHEN starts_with(lower(e), '&#x') THEN try_cast('0x' || {_num} AS BIGINT) ELSE try_cast({_num} AS BIGINT) END)"
+_char = f"CASE WHEN {_code} > 0 AND {_code} < 1114112 AND NOT {_code} BETWEEN 55296 AND 57343 THEN chr({_code}::INT) ELSE chr(65533) END"
+_raw, _html = _html, f"list_reduce(list_distinct(regexp_extract_all(h, '&#[xX][0-9a-fA-F]+;|&#[0-9]+;')), lambda h0, e: replace(h0, e, {_char}), h)"
+for _ent, _ch in W.ENTITIES.items():
     _html = f"replace({_html}, {q(_ent)}, {q(_ch)})"
-answer("html_technical_text", f"SELECT page_id, {squish(_html)} AS text FROM pages")
+answer("html_technical_text", f"SELECT page_id, {squish(_html)} AS text FROM (SELECT page_id, {_raw} AS h FROM pages)")
 _inside = lambda h, dom: f"({h} = {dom} OR ends_with({h}, '.' || {dom}))"
-cte("page_urls", f"SELECT page_id, {QS.URL_SQL} AS u, {QS.URL_BRAND_SQL} AS brand FROM pages")
-cte("page_hosts", r"SELECT page_id, brand, u, replace(split_part(lower(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)', 1)), ':', 1), 'www.', '') AS h FROM page_urls")
+_urls = QS.URL_SQL.replace("array(", "list_value(", 1)
+cte("page_urls", f"SELECT page_id, unnest(range(len(us)))::INT AS variant, unnest(us) AS u, brand FROM (SELECT page_id, {_urls} AS us, {QS.URL_BRAND_SQL} AS brand FROM pages)")
+cte("page_hosts", r"SELECT page_id, variant, brand, u, regexp_replace(split_part(split_part(lower(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#\\]*)', 1)), '@', -1), ':', 1), '^www[.]', '') AS h FROM page_urls")
 _safe = f"starts_with(lower(u), 'https://') AND h <> '' AND h NOT IN ({words(W.LOCAL_HOSTS)}) AND NOT (regexp_matches(h, {q(W.IP_LITERAL)}) AND regexp_matches(h, {q(W.RESERVED_IP)}))"
-cte("brand_domains", table("bd", ["bname", "dom"], [(n, d.replace("www.", "")) for n, d in D.domains.items()]))
+cte("brand_domains", table("bd", ["bname", "dom"], [(n, d.removeprefix("www.")) for n, d in D.domains.items()]))
 answer(
     "url_allowlist",
-    f"SELECT page_id, {_safe} AND coalesce(bool_or({_inside('h', 'dom')}), false) AS any_brand, {_safe} AND coalesce(bool_or({_inside('h', 'dom')} AND bname = brand), false) AS own_brand FROM page_hosts CROSS JOIN brand_domains GROUP BY page_id, u, h, brand",
+    f"SELECT page_id, variant, {_safe} AND coalesce(bool_or({_inside('h', 'dom')}), false) AS any_brand, {_safe} AND coalesce(bool_or({_inside('h', 'dom')} AND bname = brand), false) AS own_brand FROM page_hosts CROSS JOIN brand_domains GROUP BY page_id, variant, u, h, brand",
 )
 cte("exact_domains", table("ed", ["bname", "site"], list(D.domains.items())))
 answer(
@@ -460,7 +467,7 @@ answer(
     "supplier_leakage",
     f"SELECT count(*) AS records, count_if({distributor('brand')})::BIGINT AS brand_leaks, count_if({distributor('manufacturer')})::BIGINT AS manufacturer_leaks, count_if({distributor('brand')} OR {distributor('manufacturer')})::BIGINT AS leaking_records FROM enriched",
 )
-_head = "lower(substr(content, 1, 8192))"
+_head = "lower(content)"
 _danger = " OR ".join(f"contains({_head}, {q(p)})" for p in W.DANGEROUS_CONTENT)
 answer(
     "upload_content_screen",
@@ -654,7 +661,7 @@ answer(
     "UNION ALL SELECT 'GROUND_TRUTH_RECORD_ACCURACY', CASE WHEN ro THEN 'PASS' WHEN rp THEN 'CONDITIONALLY_PASS' ELSE 'FAIL' END FROM g "
     "UNION ALL SELECT 'OVERALL', CASE WHEN ip AND sp AND fo AND ro AND live > 0 THEN 'PRODUCTION_READY' WHEN ip AND sp AND fp THEN 'CONDITIONALLY_READY' ELSE 'NOT_READY' END FROM g",
 )
-answer("predictions_hash", f"SELECT count(*) AS row_count, sum({_digest(['part_key', 'invoice_desc', 'mobile_desc', 'long_desc', 'source_mode'])})::BIGINT AS row_digest FROM enriched")
+answer("predictions_hash", f"SELECT {_print(['part_key', 'invoice_desc', 'mobile_desc', 'long_desc', 'source_mode'])} FROM enriched")
 _rt = lambda x: f"round(count_if({x}) / count(*), 4)"
 answer(
     "telemetry_snapshot",

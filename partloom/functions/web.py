@@ -18,16 +18,47 @@ RESERVED_IP = (
     r"^(0\.|10\.|127\.|169\.254\.|172\.(1[6-9]|2\d|3[01])\.|192\.0\.[02]\.|192\.168\."
     r"|198\.1[89]\.|198\.51\.100\.|203\.0\.113\.|2(2[4-9]|3\d|4\d|5[0-5])\.)"
 )
-ENTITIES = [
-    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-    ("&apos;", "'"), ("&reg;", "®"), ("&trade;", "™"), ("&amp;", "&"),
-]
+#: Code points of a, e, i, o, u and A, E, I, O, U with each accent.
+_ACCENTED = {
+    "grave": [224, 232, 236, 242, 249, 192, 200, 204, 210, 217],
+    "acute": [225, 233, 237, 243, 250, 193, 201, 205, 211, 218],
+    "circ": [226, 234, 238, 244, 251, 194, 202, 206, 212, 219],
+    "uml": [228, 235, 239, 246, 252, 196, 203, 207, 214, 220],
+}
+#: Named character references of catalog pages; ``&amp;`` comes last, so that nothing is decoded twice.
+ENTITIES = {
+    "&nbsp;": "\u00a0", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&reg;": "®", "&trade;": "™", "&copy;": "©",
+    "&deg;": "°", "&plusmn;": "±", "&micro;": "µ", "&Omega;": "Ω", "&frac12;": "½", "&frac14;": "¼", "&frac34;": "¾",
+    "&frac18;": "⅛", "&frac38;": "⅜", "&frac58;": "⅝", "&frac78;": "⅞", "&times;": "×", "&divide;": "÷",
+    "&sup1;": "¹", "&sup2;": "²", "&sup3;": "³", "&prime;": "′", "&Prime;": "″", "&ndash;": "–", "&mdash;": "—",
+    "&lsquo;": "‘", "&rsquo;": "’", "&sbquo;": "‚", "&ldquo;": "“", "&rdquo;": "”", "&bdquo;": "„", "&laquo;": "«",
+    "&raquo;": "»", "&bull;": "•", "&middot;": "·", "&hellip;": "…", "&le;": "≤", "&ge;": "≥", "&ne;": "≠", "&asymp;": "≈",
+    "&empty;": "∅", "&Oslash;": "Ø", "&oslash;": "ø", "&euro;": "€", "&pound;": "£", "&yen;": "¥", "&cent;": "¢",
+    "&sect;": "§", "&para;": "¶", "&iexcl;": "¡", "&iquest;": "¿", "&szlig;": "ß", "&ccedil;": "ç", "&Ccedil;": "Ç",
+    "&ntilde;": "ñ", "&Ntilde;": "Ñ", "&aring;": "å", "&Aring;": "Å", "&aelig;": "æ", "&AElig;": "Æ",
+    **{f"&{letter}{mark};": chr(code) for mark, codes in _ACCENTED.items() for letter, code in zip("aeiouAEIOU", codes)},
+    "&amp;": "&",
+}
+NUMERIC_ENTITY = r"&#[xX][0-9a-fA-F]+;|&#[0-9]+;"
 # FIXED VALUES: active content that an uploaded catalog must not carry.
 UPLOAD_EXTENSIONS = [".csv", ".xlsx"]
-UPLOAD_SCAN_BYTES = 8192
 DANGEROUS_CONTENT = ["<script", "javascript:", "vbscript:", "=cmd|", "=exec|", "+cmd|", "-cmd|"]
 
 
+def _numeric_decoded(text: Column) -> Column:
+    """Numeric character references by rule; those that name no character become U+FFFD."""
+
+    def char(e: Column) -> Column:
+        digits = F.regexp_extract(e, "([0-9a-fA-F]+);", 1)
+        base = F.when(F.lower(e).startswith("&#x"), F.conv(digits, 16, 10)).otherwise(digits)
+        n = F.when(F.length(base) < 10, base.cast("bigint")).otherwise(-1)
+        sound = (n > 0) & (n < 0x110000) & ~n.between(0xD800, 0xDFFF)
+        return F.when(sound, F.decode(F.unhex(F.lpad(F.hex(n.cast("bigint")), 8, "0")), "UTF-32")).otherwise("\ufffd")
+
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(NUMERIC_ENTITY), F.lit(0)))
+    return F.aggregate(found, text, lambda done, e: F.replace(done, e, char(e)))
+
+
 def technical_text(html: Column) -> Column:
     """Visible text of a product page, one blank between pieces."""
     text = F.regexp_replace(html, r"(?s)<!--.*?-->|<![^>]*>", " ")
@@ -35,9 +66,10 @@ def technical_text(html: Column) -> Column:
         if element == "embed":
             text = F.regexp_replace(text, r"(?is)<embed\b[^>]*>", " ")
         else:
-            text = F.regexp_replace(text, rf"(?is)<{element}\b[^>]*>.*?</{element}\s*>", " ")
+            text = F.regexp_replace(text, rf"(?is)<{element}\b[^>]*>.*?(?:</{element}\s*>|\z)", " ")
     text = F.regexp_replace(text, r"(?s)<[/a-zA-Z][^>]*>", " ")
-    for entity, char in ENTITIES:
+    text = _numeric_decoded(text)
+    for entity, char in ENTITIES.items():
         text = F.replace(text, F.lit(entity), F.lit(char))
     return F.coalesce(squish(text), F.lit(""))
 
@@ -47,11 +79,13 @@ def content_hash(c: Column) -> Column:
 
 
 def _bare(host: Column) -> Column:
-    return F.replace(host, F.lit("www."), F.lit(""))
+    return F.regexp_replace(host, r"^www\.", "")
 
 
 def url_host(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1))
+    """Host and port.  What stands before the last ``@`` of the authority is a user name, not a host."""
+    authority = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#\\]*)", 1)
+    return F.lower(F.regexp_replace(authority, "^.*@", ""))
 
 
 def url_allowed(
@@ -69,8 +103,7 @@ def url_allowed(
         approved = _bare(F.lower(lookup(vocab.domains, strip(brand))))
         inside = (bare == approved) | F.endswith(bare, F.concat(F.lit("."), approved))
     else:
-        names = [d.lower().replace("www.", "") for d in (domains or vocab.domains.values())]
-        vocab.check_inline(names)
+        names = [d.lower().removeprefix("www.") for d in (domains or vocab.domains.values())]
         # every suffix of the host is looked up, so cost does not grow with the list
         labels = F.split(bare, r"\.")
         suffixes = F.transform(
@@ -121,10 +154,10 @@ def reply_status(reply: Column) -> Column:
 def upload_verdict(name: Column, content: Column) -> Column:
     """Why an uploaded catalog file is refused; null when it is acceptable.  ``content`` is binary."""
     lower = F.lower(name)
-    head = F.lower(F.decode(F.substring(content, 1, UPLOAD_SCAN_BYTES), "ISO-8859-1"))
+    text = F.lower(F.decode(content, "ISO-8859-1"))
     dangerous = F.lit(False)
     for pattern in DANGEROUS_CONTENT:
-        dangerous = dangerous | F.contains(head, F.lit(pattern))
+        dangerous = dangerous | F.contains(text, F.lit(pattern))
     magic = F.hex(F.substring(content, 1, 4))
     return (
         F.when(F.coalesce(name, F.lit("")) == "", "EMPTY_NAME")
@@ -133,9 +166,3 @@ def upload_verdict(name: Column, content: Column) -> Column:
         .when(lower.endswith(".xlsx") & (magic != "504B0304"), "NOT_A_WORKBOOK")
         .when(lower.endswith(".csv") & dangerous, "ACTIVE_CONTENT")
     )
-
-
-def formula_cell(c: Column) -> Column:
-    """Row-level form of the same screen, for feeds that are tables already."""
-    pattern = "|".join(p.replace("|", r"\|").replace("+", r"\+") for p in DANGEROUS_CONTENT)
-    return F.coalesce(F.lower(c).rlike(pattern), F.lit(False))

@@ -171,16 +171,19 @@ def index_by_key(df: DataFrame, key: str, ordinal: str, fallback_key: str | None
     return last_by(keyed, ["match_key"], [F.col(ordinal)])
 
 
-def row_digest(df: DataFrame, columns: Sequence[str]) -> Column:
-    """32-bit digest of a row; its sum over a table does not depend on row order."""
-    text = F.concat_ws("|", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in columns])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+def row_text(columns: Sequence[str]) -> Column:
+    return F.concat_ws("|", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in columns])
 
 
-def fingerprint(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.agg(
-        F.count("*").alias("row_count"), F.sum(row_digest(df, columns)).alias("row_digest")
-    )
+def fingerprint(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Row count and the sums of both halves of every row's MD5 sum; the order of rows does not matter.
+
+    Sums are decimals, which hold more rows than a table can have, so nothing overflows.  ``by`` gives one fingerprint
+    for each group, such as the file that a row comes from.
+    """
+    digest = F.md5(row_text(columns))
+    half = lambda start: F.sum(F.conv(F.substring(digest, start, 16), 16, 10).cast("decimal(20,0)")).cast("string")
+    return df.groupBy(*by).agg(F.count("*").alias("row_count"), half(1).alias("digest_high"), half(17).alias("digest_low"))
 
 
 def merge_dimension(defaults: DataFrame, overrides: DataFrame, keys: Sequence[str]) -> DataFrame:
