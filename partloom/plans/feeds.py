@@ -234,4 +234,5 @@ MANIFEST_HEADERS = {
 MANIFEST_NAME_SQL = """CASE page_id % 7 WHEN 0 THEN 'feed.csv' WHEN 1 THEN 'FEED.CSV' WHEN 2 THEN 'feed.xlsx'
     WHEN 3 THEN 'feed.exe' WHEN 4 THEN '' ELSE 'part.csv' END"""
 MANIFEST_CONTENT_SQL = """CASE page_id % 6 WHEN 0 THEN 'MZ' || html WHEN 1 THEN html WHEN 2 THEN 'a,b' || url
-    WHEN 3 THEN 'x,=CMD|y' ELSE 'Mfg_Part_Num,' || url END"""
+    WHEN 3 THEN 'x,=CMD|y'
+    WHEN 4 THEN 'Mfg_Part_Num,' || url || repeat(' ', 9000) || '<SCRIPT' ELSE 'Mfg_Part_Num,' || url END"""

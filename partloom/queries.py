@@ -56,16 +56,23 @@ def desc(s: SparkSession, d: str) -> DataFrame:
 
 
 def _feed_files(s: SparkSession, d: str) -> str:
+    """Feed files as distributors send them: shuffled columns, other header spellings, a byte order mark, further columns."""
     path = work_dir(s, "feed-csv")
     rows = feeds.feed(s, d).select(*V.FEED_COLUMNS, K)
-    rows.write.options(**files.WRITE_CSV).csv(path)
+    backwards = rows.select(*rows.columns[::-1])
+    spelled = rows.withColumnsRenamed({"Mfg_Part_Num": "MPN", "Part_Desc": "Description", "Part_Manuf": "PART_MANUF"})
+    marked = rows.select(F.col("Part_Desc").alias("\ufeffPart_Desc"), *[n for n in rows.columns if n != "Part_Desc"], F.lit("x, y").alias("Note"))
+    for part, shaped in enumerate((rows, backwards, spelled, marked)):
+        shaped.where(c(K) % 4 == part).write.options(**files.WRITE_CSV).csv(f"{path}/{part}")
     return path
 
 
+FEED_ALIASES = {"Mfg_Part_Num": V.PART_ALIASES, "Part_Desc": V.DESC_ALIASES, "Part_Manuf": V.MANUF_ALIASES}
+
+
 @query
 def feed_csv_scan(s, d):
-    cols = [*V.FEED_COLUMNS, K]
-    rows = files.read_feed(s, _feed_files(s, d), cols)
+    rows = files.read_feed(s, _feed_files(s, d), [*V.FEED_COLUMNS, K], FEED_ALIASES)
     return rows.where(c(files.CORRUPT).isNull()).select(
         c(K).cast("bigint").alias(K), *[F.coalesce(c(n), F.lit("")).alias(n.lower()) for n in V.FEED_COLUMNS]
     )
@@ -80,7 +87,7 @@ def feed_encoding_fallback(s, d):
     for part, encoding in enumerate(("UTF-8", "ISO-8859-1")):
         half = rows.where(c(K) % 2 == part)
         half.write.options(**files.WRITE_CSV, encoding=encoding).csv(f"{path}/{part}")
-    read = files.read_feed_any_encoding(s, path, rows.columns)
+    read = files.read_feed(s, path, rows.columns)
     return read.select(
         c(K).cast("bigint").alias(K), F.coalesce("Mfg_Part_Num", F.lit("")).alias("mpn"), c("Part_Desc").alias("description"),
     )
