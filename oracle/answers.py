@@ -163,7 +163,7 @@ cte(
     + "".join(f"UNION ALL SELECT _ordinal, 2, {V.DELIVERY_HEADERS.index(n)}, {q(n)}, 'PLACEHOLDER_LEAK', 'Uncleaned placeholder token detected in column ''{n}''', {e} FROM damaged WHERE {has(e, _leak)} " for n, e in _leak_cells.items())
     + f"UNION ALL SELECT _ordinal, 3, slot, 'ATTRIBUTE_VALUE ' || slot, 'INVALID_UOM', 'Glued UOM detected in ATTRIBUTE_VALUE ' || slot || ': ''' || {strip('value')} || '''', {strip('value')} FROM damaged_slots WHERE slot <= 15 AND {has(strip('value'), _glued1)}",
 )
-answer("validated_export", "SELECT _ordinal, CASE WHEN _ordinal IN (SELECT _ordinal FROM issues) THEN 'quarantine' ELSE 'delivery' END AS sink FROM damaged")
+answer("validated_export", "SELECT part_key, sink, count(*) AS records FROM (SELECT part_key, CASE WHEN _ordinal IN (SELECT _ordinal FROM issues) THEN 'quarantine' ELSE 'delivery' END AS sink FROM damaged) GROUP BY ALL")
 _jr = reply_json("content")
 answer(
     "training_jsonl_sink",
@@ -434,7 +434,7 @@ answer("schema_row_summary", "SELECT * FROM schema_results")
 _schema = f"SELECT count(*) AS total_records_checked, count_if(is_schema_valid)::BIGINT AS schema_pass_count, count_if(NOT is_schema_valid)::BIGINT AS schema_fail_count, {share('count_if(is_schema_valid)', 'count(*)')} AS schema_pass_rate_pct FROM schema_results"
 answer("schema_report", _schema)
 answer("schema_metrics", _schema)
-answer("schema_failures", "SELECT row_number, mfg_part_num, issue_count, issue_types FROM schema_results WHERE NOT is_schema_valid ORDER BY row_number LIMIT 20")
+answer("schema_failures", "SELECT row_number, mfg_part_num, issue_count, issue_types FROM schema_results WHERE NOT is_schema_valid")
 _m = strip("Mfg_Part_Num")
 answer(
     "input_validation",
@@ -612,7 +612,7 @@ cte(
     "field_name, expected_value, actual_value, 'Ground truth mismatch on ' || field_name FROM comparison WHERE comparison_type = 'MISMATCH'",
 )
 answer("error_taxonomy", "SELECT * FROM errors")
-answer("error_category_share", "SELECT error_category, count(*) AS errors, round(count(*) / sum(count(*)) OVER () * 100, 1) AS share_pct FROM errors GROUP BY 1 ORDER BY errors DESC, error_category LIMIT 10")
+answer("error_category_share", "SELECT error_category, count(*) AS errors, round(count(*) / sum(count(*)) OVER () * 100, 1) AS share_pct FROM errors GROUP BY 1")
 
 # scorecard: the reference row of a key is its last
 cte("truth_last", "SELECT g.* FROM golden g JOIN (SELECT gkey, max(_ordinal) AS m FROM golden GROUP BY 1) l ON l.gkey = g.gkey AND l.m = g._ordinal")
@@ -684,14 +684,14 @@ answer("source_upsert", "SELECT brand, mpn, http_status, _evidence_ordinal FROM
 answer("source_evidences", "SELECT brand, mpn, spec_key, evidence AS raw_snippet, value AS extracted_value, 1.0::DOUBLE AS confidence FROM newest_fetch JOIN snippets ON ek = src")
 answer(
     "latest_benchmark",
-    "SELECT batch_id, row_index, mfg_part_num FROM tracking WHERE status = 'ERROR' AND batch_id = (SELECT arg_max(batch_id, (m, batch_id)) FROM (SELECT batch_id, max(ts) AS m FROM tracking GROUP BY 1)) ORDER BY row_index LIMIT 100",
+    "SELECT batch_id, row_index, mfg_part_num FROM tracking WHERE status = 'ERROR' AND batch_id = (SELECT arg_max(batch_id, (m, batch_id)) FROM (SELECT batch_id, max(ts) AS m FROM tracking GROUP BY 1))",
 )
 answer("latest_run", "SELECT client, ts, row_index, source_mode, confidence FROM tracking QUALIFY row_number() OVER (PARTITION BY client ORDER BY ts DESC, row_index DESC) = 1")
 answer("review_current", "SELECT * EXCLUDE (created_at, product_id) FROM review_state")
 answer("pending_queue", "SELECT review_id, confidence, status FROM review_state WHERE status = 'PENDING' ORDER BY confidence, created_at DESC, review_id LIMIT 50 OFFSET 10")
 cte("audit", f"SELECT action_id AS audit_id, 'HITL_REVIEW_' || {_status} AS event_type, 'REVIEW_QUEUE' AS entity_type, review_id::STRING AS entity_id, coalesce(reviewer, 'catalog_specialist') AS reviewer, {_status} AS decision, new_value, ts FROM review_actions")
 answer("review_audit", "SELECT * FROM audit")
-answer("audit_trail", "SELECT * FROM audit WHERE entity_id = '7' ORDER BY ts DESC, audit_id DESC LIMIT 100")
+answer("audit_trail", "SELECT * FROM audit WHERE entity_id = '7'")
 answer("page", "SELECT row_index, stage, confidence FROM tracking ORDER BY row_index LIMIT 100 OFFSET 200")
 answer(
     "rolling_failure_rate",

@@ -93,7 +93,6 @@ AMPERAGE = r"(?i)\b(\d+)\s*(?:a|amps?|amperage)\b"
 AMPERAGE_DECIMAL = r"(?i)\b(\d+(?:\.\d+)?)\s*(?:a|amps?|amperage)\b"
 SOUND_LEVEL = r"(?i)\b(\d+)\s*(?:dba|db)\b"
 PACK_QUANTITY = r"(?i)\b(\d+)\s*(?:pc|pack|pk|disc/box)\b"
-WASH_CYCLES = r"(?i)\b(\d+)[- ](?:wash|cycle)\b"
 LEADING_PART_NUMBER = r"^([A-Z0-9\-]+)"
 
 
@@ -142,7 +141,6 @@ def first_rule(c: Column, rules: list[tuple[str, str]], default: str | None = No
 # the same for measured attributes; a pattern that is not listed is always tried
 _CAPTURE_HINTS = {
     "FLOW_RATE": "gpm gal/min", "PRESSURE_PSI": "psi", "PRESSURE_LB": "lb #", "SOUND_LEVEL": "db",
-    "WASH_CYCLES": "wash cycle",
 }
 
 

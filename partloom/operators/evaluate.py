@@ -180,7 +180,7 @@ def record_accuracy(records: DataFrame) -> DataFrame:
     )
 
 
-def worst_fields(accuracy: DataFrame, limit: int = 20) -> DataFrame:
+def worst_fields(accuracy: DataFrame, limit: int) -> DataFrame:
     """The least accurate fields that are not perfect."""
     scored = accuracy.select(
         F.col("field_name").alias("field"),
@@ -348,16 +348,12 @@ def error_taxonomy(
     return out
 
 
-def category_shares(errors: DataFrame, limit: int = 10) -> DataFrame:
-    """The most frequent categories with their share of all errors."""
+def category_shares(errors: DataFrame) -> DataFrame:
+    """Every category with its share of all errors; the total comes from the counted categories."""
     counts = errors.groupBy("error_category").agg(F.count("*").alias("errors"))
-    total = counts.agg(F.sum("errors").alias("_all"))
-    return (
-        counts.join(total)
-        .select("error_category", "errors", F.round(F.col("errors") / F.greatest("_all", F.lit(1)) * 100, 1).alias("share_pct"))
-        .orderBy(F.desc("errors"), "error_category")
-        .limit(limit)
-    )
+    # one row for each category that the rules name
+    total = F.sum("errors").over(Window.partitionBy(F.lit(1)))
+    return counts.select("error_category", "errors", F.round(F.col("errors") / total * 100, 1).alias("share_pct"))
 
 
 NOISE_IN_INVOICE = r"-- unbranded --|-- no unilog brand --|n/a|tbd"

@@ -77,17 +77,6 @@ def ingest_summary(ingested: DataFrame) -> DataFrame:
     )
 
 
-def queued(ingested: DataFrame) -> DataFrame:
-    """Rows that go on to enrichment, as feed columns."""
-    return ingested.where(~F.col("malformed")).select(
-        "_ordinal",
-        F.col("mpn").alias("Mfg_Part_Num"),
-        F.col("description").alias("Part_Desc"),
-        *[F.lit(None).cast("string").alias(c) for c in V.BRAND_DEFAULTS],
-        F.when(F.col("manufacturer") != "", F.col("manufacturer")).alias("Part_Manuf"),
-    )
-
-
 def _cell(name: str) -> Column:
     return strip(F.coalesce(F.col(name), F.lit("")))
 
@@ -161,9 +150,9 @@ def input_profile(df: DataFrame) -> DataFrame:
     return facts.join(copies)
 
 
-def index_by_key(df: DataFrame, key: str, ordinal: str, fallback_key: str | None = None) -> DataFrame:
+def index_by_key(df: DataFrame, key: str, ordinal: str) -> DataFrame:
     """Reference records by upper-case key without marks; the last record of a key wins."""
-    raw = F.coalesce(F.col(f"`{key}`"), F.col(f"`{fallback_key}`")) if fallback_key else F.col(f"`{key}`")
+    raw = F.col(f"`{key}`")
     bare = strip(F.translate(strip(raw), "®™", ""))
     keyed = df.withColumn(
         "match_key", F.when(~F.lower(strip(raw)).isin(V.EMPTY_WORDS), F.upper(bare))

@@ -199,9 +199,9 @@ def schema_metrics(results: DataFrame) -> DataFrame:
     )
 
 
-def schema_failures(results: DataFrame, limit: int = 20) -> DataFrame:
-    """The first failing records of the report, in row order."""
-    return results.where(~F.col("is_schema_valid")).orderBy("row_number").limit(limit)
+def schema_failures(results: DataFrame) -> DataFrame:
+    """The failing records of the report."""
+    return results.where(~F.col("is_schema_valid"))
 
 
 def telemetry_snapshot(df: DataFrame, stage: str, value: str) -> DataFrame:

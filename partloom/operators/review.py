@@ -71,13 +71,13 @@ def pending_queue(state: DataFrame, limit: int = 50, offset: int = 0) -> DataFra
 
 
 def audit_trail(
-    audit: DataFrame, entity_type: str | None = None, entity_id: str | None = None, limit: int = 100
+    audit: DataFrame, entity_type: str | None = None, entity_id: str | None = None
 ) -> DataFrame:
     if entity_type is not None:
         audit = audit.where(F.col("entity_type") == entity_type)
     if entity_id is not None:
         audit = audit.where(F.col("entity_id") == entity_id)
-    return page(audit, [F.desc("ts"), F.desc("audit_id")], 0, limit)
+    return audit
 
 
 def review_listing(state: DataFrame, products: DataFrame, product_key: str) -> DataFrame:
@@ -116,10 +116,6 @@ def source_evidences(sources: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ persisted tables of one run
 
 
-def product_id(c: Column) -> Column:
-    return F.xxhash64(c)
-
-
 def persist_products(enriched: DataFrame) -> DataFrame:
     return enriched.select(
         "_ordinal", F.col("Mfg_Part_Num").alias("mfg_part_num"), F.col("Part_Desc").alias("part_desc"),

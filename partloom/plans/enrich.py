@@ -24,12 +24,6 @@ _EMPTY_EVIDENCE = (
 _EMPTY_MODEL = A.MODEL_SCHEMA
 
 
-def spread_for(feed: DataFrame) -> int | None:
-    """Task count for an input that would not keep the executors busy, else None."""
-    cores = feed.sparkSession.sparkContext.defaultParallelism
-    return cores if feed.rdd.getNumPartitions() < cores else None
-
-
 def prepare(feed: DataFrame) -> DataFrame:
     """Cleaned texts and the one brand column that says something."""
     named = [F.when(~strip(F.col(c)).isin(V.BRAND_PLACEHOLDERS), blank_to_null(F.col(c))) for c in V.BRAND_DEFAULTS]
@@ -61,8 +55,8 @@ def extract(
 ) -> DataFrame:
     """Resolved feed with ``attrs``, ``raw_specs``, ``spec_sections``, ``ev`` and ``source_mode``.
 
-    ``spread`` deals the rows out over that many tasks before the work that is heavy per row.  It is
-    for inputs of few, small files; a large scan has tasks enough and should leave it unset.
+    ``spread`` deals the rows out over that many tasks first.  It is the caller's, for a feed in one small file; a
+    large scan has tasks enough.
     """
     df = resolve(feed.repartition(spread) if spread else feed, vocab)
     if evidence is not None:
@@ -73,8 +67,6 @@ def extract(
         df = A.join_model_output(df, replies, "Mfg_Part_Num")
     else:
         df = df.withColumn("model", F.lit(None).cast(_EMPTY_MODEL))
-    if spread and (evidence is not None or replies is not None):
-        df = df.repartition(spread)
     df = A.evidence_specs(df, "desc_clean", "category", vocab)
     df = A.heuristic_attributes(df, "desc_clean", "Mfg_Part_Num", vocab)
     df = A.merge_attributes(df, "brand", "Mfg_Part_Num")
@@ -147,8 +139,3 @@ def stand_in_is_blank(header: str) -> bool:
 
 def delivery(enriched: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return D.project_delivery(enriched, record_cells(), list(keys))
-
-
-TRACKING_COLUMNS = [
-    "_ordinal", "part_key", "status", "source_mode", "confidence", "needs_review", "review_tier",
-]

@@ -28,7 +28,7 @@ def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     def build() -> DataFrame:
         feed = feeds.feed(spark, sf_dir)
         return P.enrich(
-            feed, feeds.evidence(spark, sf_dir), feeds.model_output(spark, sf_dir), spread=P.spread_for(feed)
+            feed, feeds.evidence(spark, sf_dir), feeds.model_output(spark, sf_dir), spread=spark.sparkContext.defaultParallelism
         )
 
     return shared(spark, sf_dir, "enriched", build)
