@@ -717,7 +717,7 @@ ANSWERS["enrich_stream"] = query("SELECT _ordinal, brand, category, confidence,
 answer(
     "telemetry_windows",
     "SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, stage, count(*) AS records, sum(processing_time_ms::DECIMAL(12, 2))::DOUBLE AS total_ms, max(processing_time_ms::DECIMAL(12, 2))::DOUBLE AS max_ms, count_if(status = 'ERROR')::BIGINT AS failures "
-    "FROM (SELECT *, date_trunc('hour', ts) AS w FROM tracking) GROUP BY w, stage HAVING w + INTERVAL '1 hour' <= (SELECT max(ts) - INTERVAL '10 minutes' FROM tracking)",
+    "FROM (SELECT *, date_trunc('hour', ts) AS w FROM tracking) GROUP BY w, stage",
 )
 answer(
     "review_state_stream",
@@ -741,6 +741,19 @@ answer(
     f"concat_ws(', ', b || ' ' || t || coalesce(' ' || wi, ''), ser, {_ew('cy', 'Cycles', ' Wash Cycles')}, {_ew('vo', 'V', ' V')}, {_ew('am', 'A', ' A')}, mo || ' Mounting', sz, {_cw('dp', 'Depth', ' in Depth With Door Open')}, {_cw('mi', 'Height', ' Minimum Height')}, {_cw('so', 'Sound', ' dBA Sound Level')}, ma, co, 'Additional Information: ' || ad) AS long_desc1, "
     f"{strip('concat_ws(' + q(' ') + ', ser, t) || ' + _tail)} AS retail_desc, '' AS marketing_description FROM fact_cols",
 )
+# the log of a client is the list of its admitted times, carried along its requests in order
+_kept = "list_filter(acc.log, lambda t: t >= x.t - 21600000000)"
+_step = (
+    f"{{'t': x.t, 'id': x.id, 'log': CASE WHEN len({_kept}) < 2 THEN list_append({_kept}, x.t) ELSE {_kept} END, "
+    f"'out': list_append(acc.out, {{'id': x.id, 'ok': len({_kept}) < 2, 'n': least(len({_kept}) + 1, 2)}})}}"
+)
+answer(
+    "rate_admission",
+    "SELECT client, r.id AS event_id, r.ok AS admitted, r.n::INT AS in_window FROM (SELECT client, unnest(list_reduce(list_prepend("
+    "{'t': 0::BIGINT, 'id': 0::BIGINT, 'log': []::BIGINT[], 'out': []::STRUCT(id BIGINT, ok BOOLEAN, n BIGINT)[]}, "
+    f"list({{'t': epoch_us(ts), 'id': row_index, 'log': []::BIGINT[], 'out': []::STRUCT(id BIGINT, ok BOOLEAN, n BIGINT)[]}} ORDER BY ts, row_index)), lambda acc, x: {_step}).out) AS r "
+    "FROM tracking GROUP BY client)",
+)
 answer("progress_stream", f"SELECT {_prog}, count_if(confidence >= 0.90)::BIGINT AS high_confidence_count FROM tracking GROUP BY 1")
 answer("ingest_dedup_stream", "SELECT DISTINCT upper(Mfg_Part_Num) AS mpn_key FROM feed WHERE Mfg_Part_Num <> ''")
 answer(

@@ -74,14 +74,14 @@ FINISH_RULES = [
     ("Brushed Nickel", r"\b(?:Brushed\s*Nickel|BN)\b"),
     ("Matte Black", r"\b(?:Matte\s*Black|MB)\b"),
 ]
-EVIDENCE_MOUNTING_RULES = [MOUNTING_RULES[0], MOUNTING_RULES[7], MOUNTING_RULES[6]]
+EVIDENCE_MOUNTING_RULES = [("Built-In", r"\bBuilt[- ]?in\b"), ("Leg", r"\bLeg\b"), ("Freestanding", r"\bFreestanding\b")]
 
 # FIXED VALUES: measured attributes.
 VOLTAGE = r"(?i)\b(\d{2,3}(?:\.\d+)?)\s*(?:v(?:olts?)?)\b"
-_LENGTH = r"(?:\d+[- ])?\d+(?:/\d+)?(?:\.\d+)?\s*(?:in(?:ch(?:es)?)?|\"|'|ft|mm|cm)"
-DIMENSIONS = rf"(?i)\b({_LENGTH}(?:\s*[xX]\s*{_LENGTH}?)*)\b"
-_PLAIN = r"\d+(?:[-/]\d+)?(?:\.\d+)?"
-PLAIN_DIMENSIONS = rf"(?i)\b({_PLAIN}\s*[xX]\s*{_PLAIN}(?:\s*[xX]\s*{_PLAIN})?)\b"
+DIMENSIONS = (
+    r"""(?i)\b((?:\d+[- ])?\d+(?:/\d+)?(?:\.\d+)?\s*(?:in(?:ch(?:es)?)?|\"|'|ft|mm|cm)(?:\s*[xX]\s*(?:\d+[- ])?\d+(?:/\d+)?(?:\.\d+)?\s*(?:in(?:ch(?:es)?)?|\"|'|ft|mm|cm)?)*)\b"""
+)
+PLAIN_DIMENSIONS = r"(?i)\b(\d+(?:[-/]\d+)?(?:\.\d+)?\s*[xX]\s*\d+(?:[-/]\d+)?(?:\.\d+)?(?:\s*[xX]\s*\d+(?:[-/]\d+)?(?:\.\d+)?)?)\b"
 FLOW_RATE = r"(?i)\b(\d+(?:\.\d+)?)\s*(?:gpm|gal/min)\b"
 PIPE_THREAD = r"(?i)\b(MNPT|FNPT|NPT)\b"
 CONNECTION = r"(?i)\b(Compression|Socket Weld|Push-to-Connect|Press|Flanged|Soldered|Threaded)\b"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -13,12 +15,24 @@ from pyspark.sql import functions as F
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
+_LOCAL_ROOTS: dict[str, str] = {}
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared folder the cluster names; a local one only in tests."""
+    """A fresh folder below the shared folder the cluster names.
+
+    Session settings are never changed.  Without the setting a local session gets a temporary folder, which is removed
+    when Python ends; a cluster gets an error, since a folder of one machine is not seen by the others.
+    """
     root = spark.conf.get(CHECKPOINT_DIR, None)
     if not root:
-        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set(CHECKPOINT_DIR, root)
+        context = spark.sparkContext
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError(f"set {CHECKPOINT_DIR} to a folder that driver and executors share")
+        if context.applicationId not in _LOCAL_ROOTS:
+            _LOCAL_ROOTS[context.applicationId] = tempfile.mkdtemp(prefix="spark-")
+            atexit.register(shutil.rmtree, _LOCAL_ROOTS[context.applicationId], ignore_errors=True)
+        root = _LOCAL_ROOTS[context.applicationId]
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 

@@ -14,11 +14,22 @@ from partloom.operators.common import materialize
 from partloom.plans import enrich as P
 from partloom.plans import feeds
 
-_WRITTEN: dict[tuple[str, str, str], DataFrame] = {}
+_WRITTEN: dict[tuple, DataFrame] = {}
+
+
+def _version(spark: SparkSession, sf_dir: str) -> tuple[int, ...]:
+    """When the source tables were last changed."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    found = []
+    for name in ("part", "supplier", "events"):
+        path = jvm.Path(f"{sf_dir}/{name}.parquet")
+        found.append(path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getModificationTime())
+    return tuple(found)
 
 
 def shared(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    """Written once for each application and version of the source tables."""
+    key = (spark.sparkContext.applicationId, sf_dir, name, _version(spark, sf_dir))
     if key not in _WRITTEN:
         _WRITTEN[key] = materialize(build(), name)
     return _WRITTEN[key]

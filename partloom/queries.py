@@ -758,38 +758,42 @@ QUERIES["error_union"] = lambda s, d: E.error_taxonomy(None, feeds.tracking(s, d
 # ------------------------------------------------------------------ streams
 
 
-def _stream(s, d, name, df, parts=4, order=None):
-    """The table as a few files in arrival order, read back as a stream."""
-    path = work_dir(s, name)
-    rows = df.repartitionByRange(parts, order) if order else df.repartition(parts)
-    rows.write.parquet(path)
-    return jobs.read_stream(s, path, df.schema, files_per_trigger=parts)
-
-
-def _finish(s, q, out, schema=None):
-    q.awaitTermination()
-    if q.exception() is not None:
-        raise q.exception()
-    return (s.read.schema(schema) if schema else s.read).parquet(out)
+def _replayed(s, name, df, start, order=None):
+    """Feed the table to a stream in four files, one for each trigger.
+
+    The stream is started on the first two, ends, and is started again from its checkpoint when the others have come.
+    """
+    path, staged = work_dir(s, name), work_dir(s, f"{name}-staged")
+    if order is None:
+        rows = df.withColumn("_part", F.pmod(F.xxhash64(*df.columns), F.lit(4)).cast("int"))
+    else:
+        cuts = df.select(F.percentile_approx(c(order).cast("timestamp").cast("long"), [0.25, 0.5, 0.75], 1000)).first()[0]
+        at = c(order).cast("timestamp").cast("long")
+        rows = df.withColumn("_part", sum(((at > cut).cast("int") for cut in cuts), F.lit(0)))
+    rows.write.parquet(staged)
+    whole = s.read.schema(rows.schema).parquet(staged)
+    for part in range(4):
+        whole.where(c("_part") == part).drop("_part").coalesce(1).write.mode("append").parquet(path)
+        if part in (1, 3):
+            q = start(jobs.read_stream(s, path, df.schema))
+            q.awaitTermination()
+            if q.exception() is not None:
+                raise q.exception()
 
 
 @query
 def enrich_stream(s, d):
     out, mark = work_dir(s, "stream-out"), work_dir(s, "stream-mark")
-    stream = _stream(s, d, "stream-feed", feeds.feed(s, d))
     keep = [K, "brand", "category", "confidence", "invoice_desc", "needs_review"]
-    q = jobs.enrich_stream(stream, lambda df: P.scored(df).select(*keep), out, mark)
-    return _finish(s, q, out)
+    _replayed(s, "stream-feed", feeds.feed(s, d), lambda stream: jobs.enrich_stream(stream, lambda df: P.scored(df).select(*keep), out, mark))
+    return s.read.parquet(out)
 
 
 @query
 def progress_stream(s, d):
     out, mark = work_dir(s, "progress"), work_dir(s, "progress-mark")
-    stream = _stream(s, d, "progress-in", feeds.tracking(s, d).select("batch_id", "status", "confidence"))
-    q = jobs.progress_stream(stream, "batch_id", out, mark)
-    q.awaitTermination()
-    if q.exception() is not None:
-        raise q.exception()
+    rows = feeds.tracking(s, d).select("batch_id", "status", "confidence")
+    _replayed(s, "progress-in", rows, lambda stream: jobs.progress_stream(stream, "batch_id", out, mark))
     return jobs.latest_progress(s, out, "batch_id")
 
 
@@ -799,9 +803,18 @@ def telemetry_windows(s, d):
     rows = feeds.tracking(s, d).select(
         c("ts").cast("timestamp").alias("ts"), "stage", "status", c("processing_time_ms").cast("decimal(12,2)").alias("ms")
     )
-    windows = jobs.telemetry_windows(_stream(s, d, "windows-in", rows, order="ts"), "ts", "stage", "ms")
-    q = jobs.windows_to(windows, out, mark)
-    done = _finish(s, q, out, windows.schema)
+    # a marker row far ahead brings out the last open windows
+    end = rows.agg(F.max(c("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts"))
+    marker = end.select("ts", F.lit("END").alias("stage"), F.lit("SUCCESS").alias("status"), F.lit(0).cast("decimal(12,2)").alias("ms"))
+    schema: list = []
+
+    def start(stream):
+        windows = jobs.telemetry_windows(stream, "ts", "stage", "ms")
+        schema[:] = [windows.schema]
+        return jobs.windows_to(windows, out, mark)
+
+    _replayed(s, "windows-in", rows.unionByName(marker), start, order="ts")
+    done = s.read.schema(schema[0]).parquet(out).where("stage <> 'END'")
     return done.select(
         F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "stage", "records", c("total_ms").cast("double").alias("total_ms"),
         c("max_ms").cast("double").alias("max_ms"), "failures",
@@ -812,25 +825,25 @@ def telemetry_windows(s, d):
 def rate_admission(s, d):
     out, mark = work_dir(s, "admit"), work_dir(s, "admit-mark")
     rows = feeds.tracking(s, d).select(c("client").cast("bigint").alias("client"), c("row_index").alias("event_id"), "ts")
-    q = jobs.run_stateful(s, jobs.admit(_stream(s, d, "admit-in", rows, order="ts"), jobs.TightLimiter), out, mark)
-    return _finish(s, q, out).drop("ts")
+    _replayed(s, "admit-in", rows, lambda stream: jobs.run_stateful(s, jobs.admit(stream, jobs.TightLimiter), out, mark), order="ts")
+    return s.read.parquet(out).drop("ts")
 
 
 @query
 def review_state_stream(s, d):
     out, mark = work_dir(s, "reviews"), work_dir(s, "reviews-mark")
     rows = feeds.review_actions(s, d)
-    q = jobs.run_stateful(s, jobs.review_stream(_stream(s, d, "reviews-in", rows, order="ts")), out, mark)
-    return _finish(s, q, out).drop("ts")
+    _replayed(s, "reviews-in", rows, lambda stream: jobs.run_stateful(s, jobs.review_stream(stream), out, mark), order="ts")
+    return s.read.parquet(out).drop("ts")
 
 
 @query
 def ingest_dedup_stream(s, d):
     out, mark = work_dir(s, "dedup"), work_dir(s, "dedup-mark")
     rows = feeds.feed(s, d).select(F.upper("Mfg_Part_Num").alias("mpn_key"), F.timestamp_seconds(c(K)).alias("ts"))
-    stream = _stream(s, d, "dedup-in", rows.where("mpn_key <> ''"), order="ts")
-    q = jobs.windows_to(jobs.deduplicate_stream(stream, "mpn_key", "ts", "30 days"), out, mark)
-    return _finish(s, q, out).select("mpn_key")
+    start = lambda stream: jobs.windows_to(jobs.deduplicate_stream(stream, "mpn_key", "ts", "30 days"), out, mark)
+    _replayed(s, "dedup-in", rows.where("mpn_key <> ''"), start, order="ts")
+    return s.read.parquet(out).select("mpn_key")
 
 
 # ------------------------------------------------------------------ whole runs

@@ -6,6 +6,7 @@ started at any point.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -107,12 +108,13 @@ class AdmissionLimiter(StatefulProcessor):
         self.log = handle.getListState("log", T.StructType([T.StructField("t", T.LongType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        log = [t for (t,) in self.log.get()]
+        log = deque(t for (t,) in self.log.get())
         batch = pd.concat(list(rows)).sort_values(["ts", "event_id"], kind="stable")
         admitted, depth = [], []
         # datetime columns may carry any resolution; the log is kept in microseconds
         for t in batch["ts"].astype("datetime64[us]").astype("int64").tolist():
-            log = [x for x in log if x >= t - self.seconds * 1_000_000]
+            while log and log[0] < t - self.seconds * 1_000_000:
+                log.popleft()
             ok = len(log) < self.limit
             if ok:
                 log.append(t)
@@ -161,16 +163,22 @@ class ReviewState(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         value, n = self.state.get() if self.state.exists() else (None, 0)
         batch = pd.concat(list(rows)).sort_values(["ts", "action_id"], kind="stable")
-        out = []
-        for row in batch.itertuples(index=False):
-            status = STATUS_OF[row.action_type]
-            if row.action_type == "EDIT":
-                value = row.new_value
-            n += 1
-            out.append((key[0], row.action_id, row.ts, f"HITL_REVIEW_{status}", status, value, row.reviewer or DEFAULT_REVIEWER, n))
-        self.state.update((value, n))
-        names = [f.split()[0] for f in REVIEW_SCHEMA.split(", ")]
-        yield pd.DataFrame(out, columns=names)
+        status = batch["action_type"].map(STATUS_OF)
+        values = batch["new_value"].where(batch["action_type"] == "EDIT").astype(object)
+        edited = (batch["action_type"] == "EDIT").cumsum()
+        # the value of the last edit up to each action, also where that value is null
+        by_edit = dict(zip(edited[batch["action_type"] == "EDIT"], values[batch["action_type"] == "EDIT"]))
+        current = [by_edit.get(e, value) for e in edited]
+        out = pd.DataFrame(
+            {
+                "review_id": key[0], "action_id": batch["action_id"].to_numpy(), "ts": batch["ts"].to_numpy(),
+                "event_type": ("HITL_REVIEW_" + status).to_numpy(), "status": status.to_numpy(), "current_value": current,
+                "reviewer": batch["reviewer"].replace("", None).fillna(DEFAULT_REVIEWER).to_numpy(),
+                "sequence": range(n + 1, n + len(batch) + 1),
+            }
+        )
+        self.state.update((current[-1], n + len(batch)))
+        yield out
 
     def close(self) -> None:
         pass
