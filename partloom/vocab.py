@@ -1,9 +1,8 @@
 """Master data: brands, units, fractions, vocabularies, category schemas, delivery headers.
 
 Everything in this file is data.  The blocks marked FIXED VALUES must equal the published catalog
-standard for results to agree with it, so they are written out plainly.  All of it is small and of
-a size known before a job starts; ``Vocabulary`` checks that size before any of it is inlined as a
-literal, and ``operators.entity`` joins larger alias tables instead.
+standard for results to agree with it, so they are written out plainly.  These tables come with the package and do not
+grow with the data; master tables that do are DataFrames, which ``operators.master`` joins.
 """
 
 from __future__ import annotations
@@ -631,8 +630,6 @@ def spec_key(name: str) -> str:
 
 SLOTS = {kind: [(label, [spec_key(n) for n in names]) for label, names in slots] for kind, slots in _SLOT_NAMES.items()}
 
-# Inlining a table as a literal puts it in every task; past this many rows it is joined instead.
-MAX_INLINE_ROWS = 2_000
 _MIN_EMBEDDED_ALIAS = 4
 
 
@@ -697,13 +694,6 @@ class Vocabulary:
     def domains(self) -> dict[str, str]:
         return {b.name: b.domain for b in self.brands if b.domain}
 
-    def check_inline(self, table) -> None:
-        if len(table) > MAX_INLINE_ROWS:
-            raise ValueError(
-                f"{len(table)} master rows are too many to inline (limit {MAX_INLINE_ROWS}); "
-                "use the join form of this operator"
-            )
-
 
 DEFAULT = Vocabulary()
 
