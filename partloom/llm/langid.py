@@ -88,16 +88,21 @@ def windows_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def sample(docs: DataFrame, doc_id: str, text: str, label: str, held_out: int) -> list[tuple[str, str]]:
     """(language, passage) of at most DOCS_PER_LANGUAGE documents of the MOST_LANGUAGES most frequent languages.
 
-    The choice is by a hash of the identifier, and the passage begins at a hashed place.  Only passages are ranked, and
-    every task keeps no more than the bound of each language before the shuffle.
+    The choice is by a hash of the document, and the passage begins at a hashed place.  Only passages are ranked, of about
+    four times as many documents as are needed, however large the table.
     """
     usable = docs.where((fold(doc_id) != held_out) & F.col(label).isNotNull() & F.col(text).rlike(_LETTER))
     counts = usable.groupBy(F.col(label).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
-    names = [r["lang"] for r in counts.collect()]
+    found = {r["lang"]: r["count"] for r in counts.collect()}
+    if not found:
+        return []
     draw = F.xxhash64(F.lit("sample"), F.col(doc_id), F.col(text))
+    # draws are uniform, so the lowest of a language lie below this with a wide margin, and few others do
+    below = {k: min(1.0, 4 * DOCS_PER_LANGUAGE / n) * 2.0**64 - 2.0**63 for k, n in found.items()}
+    limits = F.create_map(*[F.lit(x) for pair in below.items() for x in pair])
     begin = F.lit(1) + F.pmod(draw, F.greatest(F.length(text) - PASSAGE, F.lit(1)))
     passage = F.substring(F.col(text), begin.cast("int"), F.lit(PASSAGE))
-    rows = usable.where(F.col(label).isin(names)).select(F.col(label).alias("lang"), draw.alias("draw"), passage.alias("passage"))
+    rows = usable.where(draw.cast("double") <= limits[F.col(label)]).select(F.col(label).alias("lang"), draw.alias("draw"), passage.alias("passage"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "passage"))
     chosen = rows.select("*", rank.alias("n")).where(F.col("n") <= DOCS_PER_LANGUAGE)
     return sorted((r["lang"], r["passage"]) for r in chosen.select("lang", "passage").collect())
