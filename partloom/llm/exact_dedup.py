@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from partloom.llm.storage import free_name, located, shared_path, written
+from partloom.llm.storage import free_name, located, written
+from partloom.operators.common import work_dir
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -86,10 +87,10 @@ def find_copies(
 def _find(rows: DataFrame, file: str, row: str, digest: Callable[[Column], Column], files_per_batch: int) -> DataFrame:
     spark, norm = rows.sparkSession, normalized()
     key = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", F.col(row).alias("row"), F.col(file).alias("file"))
-    source = shared_path(spark, "digests")
+    source = work_dir(spark, "digests")
     rows.select(digest(norm).alias("digest"), key.alias("key")).write.parquet(source)
     digests = spark.read.parquet(source)
-    work = shared_path(spark, "dedup")
+    work = work_dir(spark, "dedup")
     state = written(stream_state(spark, source, digests.schema, work, files_per_batch), "copies")
 
     hits = state.where("n > 1").select("digest")

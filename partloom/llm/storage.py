@@ -2,37 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-CHECKPOINT_DIR = "spark.checkpoint.dir"
-_LOCAL_ROOTS: dict[str, str] = {}
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder the cluster names; session settings are never changed.
-
-    Without the setting a local session gets a temporary folder, and a cluster gets an error: a folder
-    of one machine would not be seen by the others.
-    """
-    root = spark.conf.get(CHECKPOINT_DIR, None)
-    if not root:
-        context = spark.sparkContext
-        if not context.master.startswith("local[") and context.master != "local":
-            raise ValueError(f"set {CHECKPOINT_DIR} to a folder that driver and executors share")
-        root = _LOCAL_ROOTS.setdefault(context.applicationId, tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+from pyspark.sql import DataFrame
 
+from partloom.operators.common import materialize as written
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a result that several jobs read, and read it back: lost executors then cost a re-read only."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["free_name", "located", "written"]
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -63,7 +38,3 @@ def located(docs: DataFrame) -> tuple[DataFrame, str, str]:
     except AnalysisException:
         out = keyed(written(docs, "rows"))
     return out, file, row
-
-
-def text_or_empty(name: str = "text") -> Column:
-    return F.coalesce(F.col(name), F.lit(""))
