@@ -14,7 +14,7 @@ from partloom.plans import feeds
 from oracle.base import (
     DECIMAL, GLUED, RAW_SPEC_SQL, capture, clean, clean_cell, compress, cte, dimensions, distributor, filled, fractions, grab,
     has, measured_dimensions, present, provenance, q, query, reply_json, rules, sanitize, share, space_units, strip, table,
-    valid_lov, with_unit, words, ws, D, WS, CONFLICTS, squish,
+    valid_lov, with_unit, words, ws, D, WS, CONFLICTS, squish, lines_of, snippets_of,
 )
 
 ANSWERS: dict[str, str] = {}
@@ -314,7 +314,15 @@ answer(
     "evidence_spec_extract",
     "SELECT _ordinal, t_item_type AS item_type, t_voltage AS voltage, t_amperage AS amperage, t_sound AS sound_level, t_dimensions AS dimensions, t_mounting AS mounting, t_material AS material FROM tech",
 )
-answer("evidence_snippets", "SELECT ek AS _evidence_ordinal, spec_key, value, evidence FROM snippets")
+cte("page_texts", f"SELECT page_id AS ek, {squish(_html)} AS text FROM (SELECT page_id, {_raw} AS h FROM pages)")
+cte("page_lines", lines_of("page_texts"))
+cte("doc_lines", lines_of("(SELECT doc_id AS ek, text FROM documents)"))
+answer(
+    "evidence_snippets",
+    "SELECT 'evidence' AS source, ek AS id, spec_key, value, evidence FROM snippets "
+    f"UNION ALL SELECT 'page', ek, spec_key, value, evidence FROM ({snippets_of('page_lines')}) "
+    f"UNION ALL SELECT 'document', ek, spec_key, value, evidence FROM ({snippets_of('doc_lines')})",
+)
 answer(
     "model_output_merge",
     "SELECT _ordinal, " + ", ".join(f"a_{n} AS {n}" for n in ("brand", "item_type", "mpn", "voltage", "dimensions", "mounting", "material", "series", "mfr_url"))

@@ -200,7 +200,13 @@ cte(
 # ------------------------------------------------------------------ snippets
 
 _line = "list_filter(list_transform(CASE WHEN contains(text, chr(10)) THEN string_split(text, chr(10)) ELSE string_split(text, '.') END, lambda s: {s}), lambda s: length(s) >= 3)".format(s=strip("s"))
-cte("ev_lines", f"SELECT ek, {_line} AS lines FROM evidence")
+
+
+def lines_of(source: str) -> str:
+    return f"SELECT ek, {_line} AS lines FROM {source}"
+
+
+cte("ev_lines", lines_of("evidence"))
 _markers = {
     "voltage": (r"voltage|120v|120 v|240v|240 v", "CASE WHEN {m} THEN {g} ELSE substr(s, 1, 40) END", r"(?i)(\b\d+(?:/\d+)?\s*(?:v(?:olt)?s?|kv)\b)"),
     "amperage": (r"amp|current|\b\d+\s*a\b", "CASE WHEN {m} THEN {g} ELSE substr(s, 1, 40) END", r"(?i)(\b\d+(?:\.\d+)?\s*(?:a(?:mp)?s?|ma)\b)"),
@@ -208,14 +214,17 @@ _markers = {
     "dimensions": (r"dimension|width|depth|diameter", "substr(s, 1, 60)", ""),
     "mounting": (r"mounting|built-in|freestanding|wall mount", "CASE WHEN contains(lower(s), 'built-in') THEN 'Built-In' ELSE substr(s, 1, 40) END", ""),
 }
-cte(
-    "snippets",
-    " UNION ALL ".join(
+
+
+def snippets_of(lines: str) -> str:
+    return " UNION ALL ".join(
         f"SELECT ek, {q(n)} AS spec_key, {v.format(m=has('s', rx), g=grab('s', rx)) if rx else v} AS value, substr(s, 1, 160) AS evidence "
-        f"FROM (SELECT ek, list_filter(lines, lambda x: regexp_matches(lower(x), {q(mk)}))[1] AS s FROM ev_lines) WHERE s IS NOT NULL"
+        f"FROM (SELECT ek, list_filter(lines, lambda x: regexp_matches(lower(x), {q(mk)}))[1] AS s FROM {lines}) WHERE s IS NOT NULL"
         for n, (mk, v, rx) in _markers.items()
-    ),
-)
+    )
+
+
+cte("snippets", snippets_of("ev_lines"))
 cte(
     "ev_wide",
     "SELECT e.*, " + ", ".join(f"max(s.value) FILTER (s.spec_key = {q(n)}) AS sn_{n}, max(s.evidence) FILTER (s.spec_key = {q(n)}) AS se_{n}" for n in _markers)

@@ -334,10 +334,15 @@ def evidence_spec_extract(s, d):
     return A.evidence_specs(df, "desc_clean", "category").select(K, *[c(f"tech.{n}").alias(n) for n in names])
 
 
-QUERIES["evidence_snippets"] = lambda s, d: (
-    store.evidence(s, d).select("_evidence_ordinal", F.explode("snippets").alias("spec_key", "_s"))
-    .select("_evidence_ordinal", "spec_key", "_s.value", "_s.evidence")
-)
+@query
+def evidence_snippets(s, d):
+    """Snippets of fetched evidence, of crawled pages (through their technical text) and of plain documents."""
+    pages = feeds.table(s, d, "pages").select(F.lit("page").alias("source"), c("page_id").alias("id"), W.technical_text(c("html")).alias("text"))
+    documents = feeds.table(s, d, "documents").select(F.lit("document").alias("source"), c("doc_id").alias("id"), "text")
+    read = pages.unionByName(documents).withColumn("snippets", A.snippets(c("text")))
+    fetched = store.evidence(s, d).select(F.lit("evidence").alias("source"), c("_evidence_ordinal").alias("id"), "snippets")
+    rows = fetched.unionByName(read.select("source", "id", "snippets"))
+    return rows.select("source", "id", F.explode("snippets").alias("spec_key", "_s")).select("source", "id", "spec_key", "_s.value", "_s.evidence")
 
 
 @query
