@@ -314,6 +314,10 @@ answer(
     "evidence_spec_extract",
     "SELECT _ordinal, t_item_type AS item_type, t_voltage AS voltage, t_amperage AS amperage, t_sound AS sound_level, t_dimensions AS dimensions, t_mounting AS mounting, t_material AS material FROM tech",
 )
+answer(
+    "conversation_jsonl_sink",
+    "SELECT conv_id AS id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1)::INT AS position, role, coalesce(text, '') AS content FROM conversations",
+)
 cte("page_texts", f"SELECT page_id AS ek, {squish(_html)} AS text FROM (SELECT page_id, {_raw} AS h FROM pages)")
 cte("page_lines", lines_of("page_texts"))
 cte("doc_lines", lines_of("(SELECT doc_id AS ek, text FROM documents)"))

@@ -185,6 +185,14 @@ def training_jsonl_sink(s, d):
     )
 
 
+@query
+def conversation_jsonl_sink(s, d):
+    path = work_dir(s, "conversations")
+    files.conversation_records(feeds.table(s, d, "conversations")).write.text(path)
+    talks = s.read.schema("id bigint, messages array<struct<role:string,content:string>>").json(path)
+    return talks.select("id", F.posexplode("messages").alias("position", "m")).select("id", "position", "m.role", "m.content")
+
+
 @query
 def run_artifacts(s, d):
     path = work_dir(s, "artifacts")
