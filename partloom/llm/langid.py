@@ -109,15 +109,22 @@ def sample(docs: DataFrame, doc_id: str, text: str, label: str, held_out: int) -
 
 
 def train(examples: list[tuple[str, str]], seed: int = 11, epochs: int = 10, batch: int = 64, rate: float = 0.01) -> Network:
-    """Fit the network in numpy with Adam; half of the windows are cut short, since documents can be short too."""
+    """Fit the network in numpy with Adam.
+
+    Some windows are cut short, and some repeat a short passage, since documents can be short and can repeat themselves.
+    """
     draw = np.random.default_rng(seed)
     languages = sorted({lang for lang, _ in examples})
     grids, labels = [], []
     for lang, text in examples:
         raw = text.encode("utf-8", "replace")
         for piece in (raw[i : i + WINDOW] for i in range(0, max(1, len(raw)), WINDOW)):
-            if draw.random() < 0.5:
+            kind = draw.random()
+            if kind < 0.4:
                 piece = piece[: draw.integers(8, WINDOW)]
+            elif kind < 0.65:
+                at = draw.integers(0, max(1, len(piece) - 40))
+                piece = (piece[at : at + draw.integers(6, 40)] * WINDOW)[:WINDOW]
             grids.append(windows_of([piece or b" "])[0])
             labels.append(languages.index(lang))
     x, y = np.concatenate(grids), np.array(labels)
