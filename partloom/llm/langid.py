@@ -18,6 +18,8 @@ WIDTHS, FILTERS = (2, 3, 4), 16
 WINDOW = 256
 #: The sample that the network is fitted on: so many documents of each language, and a passage of each.
 DOCS_PER_LANGUAGE, PASSAGE, MOST_LANGUAGES = 400, 512, 100
+#: A text stays in the corpus if its windows are, on the mean by bytes, at least so surely in one language or another.
+LEAST_SURE = 0.5
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[ord("A") : ord("Z") + 1] += 32
 _LETTER = r"\p{L}"
@@ -189,11 +191,21 @@ def identify(
     as good as others.  An empty table gives an empty result.  Other columns stay; the new ones get a
     longer name if theirs is taken.
     """
+    return _identified(docs, _fitted(docs, doc_id, text, label, held_out), text, predicted, score)
+
+
+def _fitted(docs: DataFrame, doc_id: str, text: str, label: str, held_out: int) -> Network | None:
     examples = sample(docs, doc_id, text, label, held_out)
-    net = train(examples) if examples else None
+    return train(examples) if examples else None
+
+
+def _identified(docs: DataFrame, net: Network | None, text: str, predicted: str, score: str, sure: str | None = None) -> DataFrame:
+    """As ``identify``; ``sure`` names a further column, the mean by bytes of each window's highest probability."""
     predicted, score, lettered = free_name(docs, predicted), free_name(docs, score), free_name(docs, "_lettered")
     rows = docs.withColumn(lettered, F.coalesce(F.col(text).rlike(_LETTER), F.lit(False)))
     schema = T.StructType([*docs.schema.fields, T.StructField(predicted, T.StringType()), T.StructField(score, T.DoubleType())])
+    if sure:
+        schema = schema.add(T.StructField(sure, T.DoubleType()))
     at, names = docs.columns.index(text), schema.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +213,7 @@ def identify(
         for batch in batches:
             known = batch.column(batch.num_columns - 1).to_pylist()
             texts = batch.column(at).to_pylist()
-            langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+            langs, scores, sureness = [UNKNOWN] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
             group: list[int] = []
             size = 0
             for i in [*(i for i, k in enumerate(known) if k and net), None]:
@@ -210,23 +222,34 @@ def identify(
                     size += len(texts[i])
                 if group and (i is None or size > 1_000_000):
                     grid, owner, used = windows_of([texts[g].encode("utf-8", "replace") for g in group])
-                    logs = net.log_probabilities(grid, tables) * used[:, None]
+                    logs = net.log_probabilities(grid, tables)
+                    highest = np.bincount(owner, np.exp(logs.max(axis=1)) * used, len(group)) / np.bincount(owner, used, len(group))
+                    logs = logs * used[:, None]
                     total = np.stack([np.bincount(owner, c, len(group)) for c in logs.T], axis=1)
                     total /= np.bincount(owner, used, len(group))[:, None]
                     chance = np.exp(total - total.max(axis=1, keepdims=True))
                     chance /= chance.sum(axis=1, keepdims=True)
-                    for g, c in zip(group, chance):
-                        langs[g], scores[g] = net.languages[int(c.argmax())], float(c.max())
+                    for g, c, h in zip(group, chance, highest):
+                        langs[g], scores[g], sureness[g] = net.languages[int(c.argmax())], float(c.max()), float(h)
                     group, size = [], 0
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names
-            )
+            found = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(sureness, pa.float64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *found[: 3 if sure else 2]], names)
 
     return rows.mapInArrow(run, schema)
 
 
 def drop_unidentified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "lang") -> DataFrame:
-    """``docs`` without the texts that are in no language at all: null, empty, or without a letter."""
-    name = free_name(docs, "lang_pred")
-    found = identify(docs, doc_id, text, label, predicted=name)
-    return found.where(F.col(name) != UNKNOWN).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """``docs`` without the texts that are in no language: null, empty, without a letter, or unclear to the network.
+
+    A text is unclear if the mean by bytes of its windows' highest probabilities is below LEAST_SURE, so a text in
+    several languages is not.  The bound has no effect with one or two languages, where it is never passed under.  Where
+    nothing is labelled there is no network, and every text with a letter stays.
+    """
+    net = _fitted(docs, doc_id, text, label, held_out=2)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    if net is None:
+        return docs.where(F.col(text).rlike(_LETTER)).select(*columns)
+    sure = free_name(docs, "_sure")
+    found = _identified(docs, net, text, free_name(docs, "lang_pred"), free_name(docs, "score"), sure)
+    # the rows without a letter have 0; probabilities are single precision
+    return found.where(F.col(sure) >= LEAST_SURE - 1e-6).select(*columns)
