@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 from partloom.llm import (
     chat,
     exact_dedup,
+    fp_tree,
+    heap_kmeans,
     html_text,
     langid,
     mixing,
     ngram_lm,
+    odd_sketch,
     packing,
     simhash,
     token_counts,
@@ -254,3 +257,105 @@ FROM split LEFT JOIN total USING (r)
 @query
 def op8_html_layout(s, d):
     return html_text.extract(table(s, d, "pages"))
+
+
+# ------------------------------------------------------------------ 11: near copies by MinHash
+
+
+@query
+def op11_odd_sketch_neardup(s, d):
+    found = odd_sketch.near_duplicates(table(s, d, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ANSWERS["op11_odd_sketch_neardup"] = rf"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, list_filter(string_split_regex({_LOWER}, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents
+),
+shingle AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS g FROM split
+),
+size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+link AS (
+  SELECT x.doc_id AS a, y.doc_id AS b FROM shingle x JOIN shingle y ON x.g = y.g AND x.doc_id <> y.doc_id
+  JOIN size m ON m.doc_id = x.doc_id JOIN size n ON n.doc_id = y.doc_id
+  GROUP BY x.doc_id, y.doc_id, m.n, n.n HAVING 100 * count(*) >= 85 * (m.n + n.n - count(*))
+),
+reach(a, b) AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id,
+  doc_id <= coalesce(low, doc_id) AS kept
+FROM split LEFT JOIN size USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS low FROM reach GROUP BY a) USING (doc_id)
+"""
+
+
+# ------------------------------------------------------------------ 12: ranked lexical search
+
+
+@query
+def op12_fp_tree_search(s, d):
+    return fp_tree.rank_documents(table(s, d, "documents"), table(s, d, "benchmark"))
+
+
+_TERMS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+ANSWERS["op12_fp_tree_search"] = rf"""
+WITH doc AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS terms FROM documents),
+corpus AS (SELECT count(*) FILTER (len(terms) > 0)::BIGINT AS docs, sum(len(terms))::BIGINT AS terms FROM doc),
+asked AS (SELECT i, item_id, unnest(list_distinct({_TERMS})) AS t FROM (SELECT row_number() OVER () AS i, * FROM benchmark)),
+counted AS (
+  SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(terms) AS t FROM doc) WHERE t IN (SELECT t FROM asked) GROUP BY r, t
+),
+weight AS (
+  SELECT t, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM counted, corpus GROUP BY t, docs
+),
+size AS (SELECT r, doc_id, 10 + (90 * len(doc.terms) * docs) // corpus.terms AS m FROM doc, corpus),
+scored AS (
+  SELECT i, item_id, doc_id, r, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM asked JOIN counted USING (t) JOIN weight USING (t) JOIN size USING (r) GROUP BY i, item_id, doc_id, r
+)
+SELECT item_id, (row_number() OVER best)::INTEGER AS rank, doc_id, score FROM scored WHERE score > 0
+WINDOW best AS (PARTITION BY i ORDER BY score DESC, doc_id) QUALIFY row_number() OVER best <= 10
+"""
+
+
+# ------------------------------------------------------------------ 13: centroid clustering
+
+
+@query
+def op13_heap_kmeans(s, d):
+    return heap_kmeans.cluster_vectors(table(s, d, "embeddings"))
+
+
+def _nearest(centers: str) -> str:
+    return f"""
+  SELECT r, c, apart FROM (
+    SELECT r, c, list_sum(list_transform(list_zip(kept.v, {centers}.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS apart
+    FROM kept, {centers}
+  ) QUALIFY row_number() OVER (PARTITION BY r ORDER BY apart, c) = 1"""
+
+
+def _moved(near: str, centers: str) -> str:
+    return f"""
+  SELECT c, coalesce(m.v, {centers}.v) AS v FROM {centers} LEFT JOIN (
+    SELECT c, list(x ORDER BY i) AS v FROM (
+      SELECT c, i, sum(x)::BIGINT // count(*) - CASE WHEN sum(x)::BIGINT % count(*) < 0 THEN 1 ELSE 0 END AS x
+      FROM (SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM {near} JOIN kept USING (r)) GROUP BY c, i
+    ) GROUP BY c
+  ) m USING (c)"""
+
+
+ANSWERS["op13_heap_kmeans"] = f"""
+WITH kept AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id::VARCHAR), v) - 1 AS c, v FROM kept QUALIFY c < 16),
+n0 AS ({_nearest("c0")}), c1 AS ({_moved("n0", "c0")}),
+n1 AS ({_nearest("c1")}), c2 AS ({_moved("n1", "c1")}),
+n2 AS ({_nearest("c2")}), c3 AS ({_moved("n2", "c2")}),
+n3 AS ({_nearest("c3")})
+SELECT vec_id, c::INTEGER AS cluster, apart AS distance, (sum(apart) OVER (PARTITION BY c))::BIGINT AS cluster_inertia,
+  (sum(apart) OVER ())::BIGINT AS inertia, sha256(array_to_string(c3.v, ',')) AS centroid_sha256
+FROM n3 JOIN kept USING (r) JOIN c3 USING (c)
+"""
