@@ -79,7 +79,11 @@ _pert = (
     "CASE WHEN (_ordinal + i) % 36 = 0 THEN '' WHEN (_ordinal + i) % 44 = 0 THEN 'X' WHEN (_ordinal + i) % 12 = 0 THEN lower(value) "
     "WHEN (_ordinal + i) % 20 = 0 THEN replace(value, '®', '') WHEN (_ordinal + i) % 7 = 0 AND regexp_matches(value, '^[0-9]+$') THEN value || '.0' ELSE value END"
 )
-cte("golden", f"SELECT _ordinal, part_key AS gkey, i, field, numeric_ok, {_pert} AS value FROM cells WHERE _ordinal % 4 = 0 AND part_key <> ''")
+cte(
+    "golden",
+    "SELECT _ordinal, CASE WHEN l_partkey IS NULL THEN part_key ELSE 'GOLD-' || _ordinal END AS gkey, i, field, numeric_ok, "
+    f"CASE WHEN l_partkey IS NULL THEN {_pert} ELSE value END AS value FROM cells LEFT JOIN no_reference ON l_partkey = _ordinal WHERE part_key <> ''",
+)
 cte(
     "compared",
     "SELECT g.gkey AS mfg_part_num, g.field AS field_name, g.numeric_ok, "
@@ -109,6 +113,10 @@ cte(
 # ------------------------------------------------------------------ sources and sinks
 
 answer("feed_csv_scan", "SELECT _ordinal, " + ", ".join(f"{n} AS {n.lower()}" for n in V.FEED_COLUMNS) + " FROM feed")
+answer(
+    "feed_multiline_scan",
+    "SELECT _ordinal, Mfg_Part_Num AS mpn, CASE _ordinal % 3 WHEN 0 THEN replace(Part_Desc, ' ', chr(10)) WHEN 1 THEN 'a \"b\"' || chr(10) || chr(10) || Part_Desc ELSE Part_Desc END AS description FROM feed",
+)
 answer("feed_encoding_fallback", "SELECT _ordinal, Mfg_Part_Num AS mpn, Part_Desc || ' façade' AS description FROM feed")
 answer("feed_column_alias", "SELECT _ordinal, Mfg_Part_Num AS mpn, Part_Desc AS description, Part_Manuf AS manufacturer FROM feed")
 cte("ingest0", f"SELECT _ordinal, {clean_cell('Mfg_Part_Num')} AS m, {clean_cell(PD)} AS t, {clean_cell('Part_Manuf')} AS manufacturer FROM feed")
@@ -124,7 +132,7 @@ answer(
 )
 answer(
     "golden_scan",
-    f"SELECT match_key, max(_ordinal) AS _ordinal, arg_max({PD}, _ordinal) AS Part_Desc FROM (SELECT *, upper({strip('Mfg_Part_Num')}) AS match_key FROM feed WHERE _ordinal % 4 = 0) WHERE match_key <> '' GROUP BY 1",
+    f"SELECT match_key, max(_ordinal) AS _ordinal, arg_max({PD}, _ordinal) AS Part_Desc FROM (SELECT *, upper({strip('Mfg_Part_Num')}) AS match_key FROM feed) WHERE match_key <> '' GROUP BY 1",
 )
 _md5 = lambda cols: "md5(" + " || '|' || ".join(f"coalesce({x}, '')" for x in cols) + ")"
 _half = lambda cols, at: f"sum(('0x' || substr({_md5(cols)}, {at}, 16))::UBIGINT::HUGEINT)::VARCHAR"
@@ -371,14 +379,14 @@ answer(
     f"SELECT _ordinal, coalesce(maker, {strip(_tr('b'))}, '') AS manufacturer FROM (SELECT _ordinal, coalesce({_pfx}, Part_Manuf) AS b FROM feed f) LEFT JOIN maker_rows ON brand_key = lower({strip('b')})",
 )
 answer("evidence_join", "SELECT _ordinal, source_url, http_status FROM with_ev LEFT JOIN evidence USING (ek)")
-cte("gold_keys", "SELECT _ordinal, lower(Mfg_Part_Num) AS Mfg_Part_Num, Part_Desc FROM feed WHERE _ordinal % 4 = 0 UNION ALL SELECT _ordinal, 'gold-' || _ordinal, Part_Desc FROM feed WHERE _ordinal % 400 = 0")
+cte("gold_keys", "SELECT _ordinal, lower(Mfg_Part_Num) AS Mfg_Part_Num, Part_Desc FROM feed WHERE _ordinal NOT IN (FROM no_reference) UNION ALL SELECT _ordinal, 'gold-' || _ordinal, Part_Desc FROM feed WHERE _ordinal IN (FROM no_reference)")
 cte("in_keys", f"SELECT DISTINCT {ukey('Mfg_Part_Num')} AS match_key FROM feed WHERE {ukey('Mfg_Part_Num')} <> ''")
 cte("ref_keys", f"SELECT DISTINCT {ukey('Mfg_Part_Num')} AS match_key FROM gold_keys WHERE {ukey('Mfg_Part_Num')} <> ''")
 cte("key_status", "SELECT coalesce(a.match_key, b.match_key) AS match_key, CASE WHEN b.match_key IS NULL THEN 'input_only' WHEN a.match_key IS NULL THEN 'golden_only' ELSE 'matched' END AS status FROM in_keys a FULL JOIN ref_keys b ON a.match_key = b.match_key")
 answer("key_match", "SELECT * FROM key_status")
 answer(
     "golden_lookup",
-    f"SELECT match_key, min(_ordinal) AS _ordinal, arg_min(Part_Desc, _ordinal) AS Part_Desc FROM (SELECT *, {ukey('Mfg_Part_Num')} AS match_key FROM gold_keys) WHERE match_key IN (SELECT {ukey('Mfg_Part_Num')} FROM feed WHERE _ordinal % 10 = 0) AND match_key <> '' GROUP BY 1",
+    f"SELECT match_key, min(_ordinal) AS _ordinal, arg_min(Part_Desc, _ordinal) AS Part_Desc FROM (SELECT *, {ukey('Mfg_Part_Num')} AS match_key FROM gold_keys) WHERE match_key IN (SELECT {ukey('Mfg_Part_Num')} FROM feed) AND match_key <> '' GROUP BY 1",
 )
 for _n, _not in (("ground_truth_only", ""), ("ground_truth_missing", "NOT")):
     answer(_n, f"SELECT _ordinal, {ukey('Mfg_Part_Num')} AS match_key FROM feed WHERE {ukey('Mfg_Part_Num')} {_not} IN (SELECT match_key FROM ref_keys)")
@@ -534,7 +542,7 @@ _pop = " + ".join(f"({strip('d_' + snake(n))} <> '')::INT" for n in _known) + f"
 cte("slot_fill", "SELECT _ordinal, sum((label <> '')::INT + (value <> '')::INT + (uom <> '')::INT) AS n FROM slots GROUP BY 1")
 answer(
     "golden_profile",
-    f"SELECT _ordinal AS mfg_part_num, p AS populated_fields, 252 AS total_fields, round(p / 252 * 100, 2) AS density_pct FROM (SELECT _ordinal, ({_pop} + CASE WHEN status <> 'ERROR' THEN n ELSE 0 END)::BIGINT AS p FROM delivered JOIN slot_fill USING (_ordinal) WHERE _ordinal % 4 = 0)",
+    f"SELECT _ordinal AS mfg_part_num, p AS populated_fields, 252 AS total_fields, round(p / 252 * 100, 2) AS density_pct FROM (SELECT _ordinal, ({_pop} + CASE WHEN status <> 'ERROR' THEN n ELSE 0 END)::BIGINT AS p FROM delivered JOIN slot_fill USING (_ordinal))",
 )
 _ks = lambda s: f"count_if(status = '{s}')"
 answer(

@@ -173,6 +173,7 @@ cte(
 )
 cte("feed", "SELECT k AS _ordinal, " + ", ".join(f"{sql} AS {n}" for n, sql in feeds.FEED_SQL.items()) + " FROM base")
 
+cte("no_reference", "SELECT DISTINCT l_partkey FROM lineitem WHERE l_quantity = 1 AND l_returnflag = 'R'")
 _sections = ", ".join(f"{{'k': {q(n)}, 'v': {sql}}}" for n, sql in feeds.SECTION_SQL.items())
 cte(
     "evidence",

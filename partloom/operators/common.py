@@ -76,16 +76,17 @@ def last_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Data
     return picked.select(*keys, *[F.col("_row")[c].alias(c) for c in rest]).select(*df.columns)
 
 
-def flag_repeats(df: DataFrame, key: str, order: str, out: str, all_copies: bool = False) -> DataFrame:
-    """Flag rows whose key was seen before (or, with ``all_copies``, occurs more than once).
+def flag_repeats(df: DataFrame, key: str, order: str, out: str, all_copies: str | None = None) -> DataFrame:
+    """Flag rows whose key was seen before (``out``), and those whose key occurs more than once (``all_copies``).
 
-    The per-key facts are aggregated and joined back.  Both sides of that join have at most one
-    row per key on the right, so a hot key on the left is split by the skew-join rule.
+    The per-key facts are aggregated and joined back.  That join has at most one row per key on the
+    right, so a hot key on the left is split by the skew-join rule.
     """
     facts = df.groupBy(key).agg(F.min(order).alias("_first"), F.count("*").alias("_copies"))
-    joined = df.join(facts.withColumnRenamed(key, "_key"), same_key(key, "_key"), "left")
-    flag = F.col("_copies") > 1 if all_copies else F.col(order) > F.col("_first")
-    return joined.withColumn(out, flag).drop("_key", "_first", "_copies")
+    joined = df.join(facts.withColumnRenamed(key, "_key"), same_key(key, "_key"), "left").withColumn(out, F.col(order) > F.col("_first"))
+    if all_copies:
+        joined = joined.withColumn(all_copies, F.col("_copies") > 1)
+    return joined.drop("_key", "_first", "_copies")
 
 
 def share(part: Column, whole: Column, digits: int = 2) -> Column:

@@ -107,6 +107,11 @@ def with_short_columns(df: DataFrame) -> DataFrame:
     )
 
 
+def without_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of the parts that were once returned as a single piece: they have no reference record."""
+    return table(spark, sf_dir, "lineitem").where("l_quantity = 1 AND l_returnflag = 'R'").select("l_partkey").distinct()
+
+
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fetched official pages of the parts that were ever ordered in quantity; the others have none."""
     ordered = table(spark, sf_dir, "lineitem").where("l_quantity >= 45").select("l_partkey").distinct()

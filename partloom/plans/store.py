@@ -21,7 +21,7 @@ def _version(spark: SparkSession, sf_dir: str) -> tuple[int, ...]:
     """When the source tables were last changed."""
     jvm = spark._jvm.org.apache.hadoop.fs
     found = []
-    for name in ("part", "supplier", "events"):
+    for name in ("part", "supplier", "events", "lineitem"):
         path = jvm.Path(f"{sf_dir}/{name}.parquet")
         found.append(path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getModificationTime())
     return tuple(found)
@@ -55,11 +55,10 @@ def delivery_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def golden_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reference records: every fourth delivered record with known perturbations, and five strangers.
+    """Reference records: the delivered ones with known perturbations; parts without a reference stand under a number of their own.
 
     ``m`` is ordinal plus field position, so that every kind of difference meets every field.
     """
-    base = delivery_cells(spark, sf_dir).where("_ordinal % 4 = 0 AND Mfg_Part_Num <> ''")
 
     def perturb(v, i):
         m = F.col("_ordinal") + i
@@ -72,11 +71,15 @@ def golden_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
             .otherwise(v)
         )
 
-    known = base.withColumn("cells", F.transform("cells", perturb))
-    strangers = base.where("_ordinal % 400 = 0").select(
-        "_ordinal", F.concat(F.lit("GOLD-"), F.col("_ordinal").cast("string")).alias("Mfg_Part_Num"), "cells"
-    )
-    return known.unionByName(strangers)
+    def build() -> DataFrame:
+        missing = feeds.without_reference(spark, sf_dir)
+        base = delivery_cells(spark, sf_dir).where("Mfg_Part_Num <> ''").join(missing, F.col("_ordinal") == F.col("l_partkey"), "left")
+        stranger = F.col("l_partkey").isNotNull()
+        number = F.when(stranger, F.concat(F.lit("GOLD-"), F.col("_ordinal").cast("string"))).otherwise(F.col("Mfg_Part_Num"))
+        cells = F.when(stranger, F.col("cells")).otherwise(F.transform("cells", perturb))
+        return base.select("_ordinal", number.alias("Mfg_Part_Num"), cells.alias("cells"))
+
+    return shared(spark, sf_dir, "golden_cells", build)
 
 
 def compared(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,6 +79,20 @@ def feed_csv_scan(s, d):
     )
 
 
+@query
+def feed_multiline_scan(s, d):
+    """Feed files whose descriptions hold line breaks and quotes, cut into splits wherever Spark cuts them."""
+    path = work_dir(s, "feed-lines")
+    broken = F.regexp_replace("Part_Desc", " ", F.lit("\n"))
+    told = F.when(c(K) % 3 == 0, broken).when(c(K) % 3 == 1, F.concat(F.lit('a "b"\n\n'), "Part_Desc")).otherwise(c("Part_Desc"))
+    rows = feeds.feed(s, d).select("Mfg_Part_Num", told.alias("Part_Desc"), K)
+    rows.write.options(**files.WRITE_CSV).csv(path)
+    read = files.read_feed(s, path, rows.columns, multi_line=True)
+    return read.where(c(files.CORRUPT).isNull()).select(
+        c(K).cast("bigint").alias(K), F.coalesce("Mfg_Part_Num", F.lit("")).alias("mpn"), F.coalesce("Part_Desc", F.lit("")).alias("description")
+    )
+
+
 @query
 def feed_encoding_fallback(s, d):
     path = work_dir(s, "feed-mixed")
@@ -115,8 +129,7 @@ def feed_ingest_summary(s, d):
 
 @query
 def golden_scan(s, d):
-    golden = feeds.feed(s, d).where("_ordinal % 4 = 0").select(K, "Mfg_Part_Num", "Part_Desc")
-    return G.index_by_key(golden, "Mfg_Part_Num", K).select("match_key", K, "Part_Desc")
+    return G.index_by_key(feeds.feed(s, d).select(K, "Mfg_Part_Num", "Part_Desc"), "Mfg_Part_Num", K).select("match_key", K, "Part_Desc")
 
 
 @query
@@ -437,9 +450,10 @@ def evidence_join(s, d):
 
 
 def _golden_keys(s, d):
-    """Every fourth feed row, and strangers the feed does not hold."""
-    known = feeds.feed(s, d).where("_ordinal % 4 = 0").select(K, F.lower("Mfg_Part_Num").alias("Mfg_Part_Num"), "Part_Desc")
-    strangers = known.where("_ordinal % 400 = 0").withColumn("Mfg_Part_Num", F.concat(F.lit("gold-"), c(K).cast("string")))
+    """The feed's own numbers; the parts without a reference are in it under numbers that the feed does not hold."""
+    rows, missing = feeds.feed(s, d).select(K, F.lower("Mfg_Part_Num").alias("Mfg_Part_Num"), "Part_Desc"), feeds.without_reference(s, d)
+    known = rows.join(missing, c(K) == c("l_partkey"), "left_anti")
+    strangers = rows.join(missing, c(K) == c("l_partkey"), "left_semi").withColumn("Mfg_Part_Num", F.concat(F.lit("gold-"), c(K).cast("string")))
     return known.unionByName(strangers)
 
 
@@ -448,7 +462,7 @@ QUERIES["key_match"] = lambda s, d: E.match_keys(feeds.feed(s, d), _golden_keys(
 
 @query
 def golden_lookup(s, d):
-    wanted = E.distinct_keys(feeds.feed(s, d).where("_ordinal % 10 = 0"), "Mfg_Part_Num")
+    wanted = E.distinct_keys(feeds.feed(s, d), "Mfg_Part_Num")
     return E.lookup_record(_golden_keys(s, d), wanted, "Mfg_Part_Num", K).select("match_key", K, "Part_Desc")
 
 
@@ -468,7 +482,7 @@ def _slots_of(cells: str):
 
 
 def _label_matches(s, d):
-    g = store.golden_cells(s, d).where("Mfg_Part_Num NOT LIKE 'GOLD-%'").select(K, _slots_of("cells").alias("expected"))
+    g = store.golden_cells(s, d).select(K, _slots_of("cells").alias("expected"))
     o = store.delivery_cells(s, d).select(K, _slots_of("cells").alias("predicted"))
     return g.join(o, K).select(K, E.match_labels(g, "expected", "predicted").alias("labels"))
 
@@ -621,7 +635,7 @@ QUERIES["slots_unpivot"] = lambda s, d: D.unpivot_slots(store.delivery(s, d), [K
 # ------------------------------------------------------------------ aggregates
 
 QUERIES["input_profile"] = lambda s, d: G.input_profile(feeds.feed(s, d))
-QUERIES["golden_profile"] = lambda s, d: E.density(store.delivery(s, d).where("_ordinal % 4 = 0"), K, V.DELIVERY_HEADERS)
+QUERIES["golden_profile"] = lambda s, d: E.density(store.delivery(s, d), K, V.DELIVERY_HEADERS)
 QUERIES["golden_coverage"] = lambda s, d: E.coverage(QUERIES["key_match"](s, d))
 QUERIES["batch_summary"] = lambda s, d: M.batch_summary(feeds.tracking(s, d).withColumnRenamed("review_required", "needs_review"), "batch_id")
 
@@ -713,7 +727,7 @@ QUERIES["failure_log"] = lambda s, d: M.failure_log(feeds.tracking(s, d), "batch
 @query
 def duplicate_flags(s, d):
     rows = feeds.feed(s, d).where("Mfg_Part_Num <> ''").select(K, "Mfg_Part_Num")
-    return flag_repeats(flag_repeats(rows, "Mfg_Part_Num", K, "dup_first"), "Mfg_Part_Num", K, "dup_all", all_copies=True)
+    return flag_repeats(rows, "Mfg_Part_Num", K, "dup_first", all_copies="dup_all")
 
 
 @query
@@ -774,13 +788,13 @@ def rolling_failure_rate(s, d):
 @query
 def rate_window(s, d):
     rows = feeds.tracking(s, d).select("row_index", "client", "ts")
-    return L.over_rate(rows, "client", "ts", "row_index").drop("ts")
+    return L.over_rate(rows, "client", "ts").drop("ts")
 
 
 @query
 def rate_window_wide(s, d):
     rows = feeds.tracking(s, d).select("row_index", "client", "ts")
-    return L.trailing_count(rows, "client", "ts", "row_index", 6 * 3600, "requests_in_window", 24 * 3600).drop("ts")
+    return L.trailing_count(rows, "client", "ts", 6 * 3600, "requests_in_window").drop("ts")
 
 
 QUERIES["progress"] = lambda s, d: L.progress(feeds.tracking(s, d), "batch_id")
@@ -806,8 +820,12 @@ QUERIES["error_union"] = lambda s, d: E.error_taxonomy(None, feeds.tracking(s, d
 # ------------------------------------------------------------------ streams
 
 
+#: Files of each part, all of which one trigger takes.
+FILES_A_PART = 4
+
+
 def _replayed(s, name, df, start, order=None):
-    """Feed the table to a stream in four files, one for each trigger.
+    """Feed the table to a stream in four parts of several files, one part for each trigger.
 
     The stream is started on the first two, ends, and is started again from its checkpoint when the others have come.
     """
@@ -821,9 +839,9 @@ def _replayed(s, name, df, start, order=None):
     rows.write.parquet(staged)
     whole = s.read.schema(rows.schema).parquet(staged)
     for part in range(4):
-        whole.where(c("_part") == part).drop("_part").coalesce(1).write.mode("append").parquet(path)
+        whole.where(c("_part") == part).drop("_part").repartition(FILES_A_PART).write.mode("append").parquet(path)
         if part in (1, 3):
-            q = start(jobs.read_stream(s, path, df.schema))
+            q = start(jobs.read_stream(s, path, df.schema, FILES_A_PART))
             q.awaitTermination()
             if q.exception() is not None:
                 raise q.exception()

@@ -29,3 +29,32 @@ def test_aliases_of_many_words(spark):
     )
     got = {r["id"]: r["embedded_brand"] for r in embedded_alias_join(rows, "id", "t", aliases).collect()}
     assert got == {1: "Six", 2: "Two", 3: "Dotted", 4: None}
+
+
+def test_index_finds_what_all_pairs_find(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from partloom.operators import fuzzy
+    from partloom.operators.entity import similarity
+
+    draw = random.Random(8)
+    word = lambda: "".join(draw.choice("abcde") for _ in range(draw.randrange(1, 8)))
+    names = [" ".join(word() for _ in range(draw.choice([1, 1, 2, 3]))) for _ in range(400)] + ["A", "ab", "Äö ü", "x-y", "aaaa"]
+    texts = {*draw.sample(names, 120)}
+    for name in draw.sample(names, 250):
+        at = draw.randrange(len(name))
+        texts |= {name[:at] + draw.choice("abcxé ") + name[at + 1 :], name[:at] + name[at + 1 :], name + " " + word(), word() + name, " ".join(reversed(name.split()))}
+    brands = spark.createDataFrame(list(enumerate(names)), "ord int, brand string")
+    frame = spark.createDataFrame([(t,) for t in [*texts, None, "--", ""]], "text string")
+    for cutoff in (0.8, 0.85, 0.9):
+        t, b = fuzzy._forms(frame.distinct().where("text IS NOT NULL"), "text", F.col("text")), fuzzy._forms(brands, "ord", F.col("brand"))
+        pairs = t.crossJoin(b.select("ord", F.struct("norm", "tokens", "sorted").alias("b")))
+        score = similarity(F.col("norm"), F.col("tokens"), F.col("sorted"), F.col("b"))
+        rated = pairs.select("text", "ord", score.alias("score")).where(F.col("score") >= cutoff)
+        want = rated.groupBy("text").agg(F.max_by(F.struct("ord", "score"), F.struct("score", -F.col("ord"))).alias("r"))
+        want = {r["text"]: (names[r["r"]["ord"]], round(r["r"]["score"], 9)) for r in want.collect()}
+        got = {r["text"]: (r["brand"], round(r["score"], 9)) for r in fuzzy.best_brands(frame, brands, cutoff).collect()}
+        assert got == want and len(want) > 100
+    assert fuzzy.best_brands(frame.limit(0), brands, 0.8).count() == 0 == fuzzy.best_brands(frame, brands.limit(0), 0.8).count()

@@ -122,8 +122,8 @@ def events(n, seed):
 def test_rolling_windows_by_brute_force(spark):
     data = events(400, 3)
     df = spark.createDataFrame(data, "id long, k string, ts timestamp, bad boolean")
-    out = {r.id: r for r in L.rolling_failures(df, "k", "ts", "id", c("bad"), bucket_seconds=900).collect()}
-    counts = {r.id: r.n for r in L.trailing_count(df, "k", "ts", "id", 700, "n", bucket_seconds=300).collect()}
+    out = {r.id: r for r in L.rolling_failures(df, "k", "ts", "id", c("bad")).collect()}
+    counts = {r.id: r.n for r in L.trailing_count(df, "k", "ts", 700, "n").collect()}
     assert len(out) == len(counts) == len(data)
     for i, k, ts, _ in data:
         own = sorted([(t, j, b) for j, kk, t, b in data if kk == k])
@@ -151,3 +151,33 @@ def test_admission_log_by_brute_force(spark, sf):
         want[event] = len(log) < TightLimiter.limit
         logs[client] = log + [ts] if want[event] else log
     assert got == want and not all(want.values())
+
+
+def test_running_sums_of_a_busy_key_are_spread(spark, monkeypatch):
+    from partloom.operators import prefix
+
+    seen = []
+    keep = prefix.materialize
+    monkeypatch.setattr(prefix, "materialize", lambda df, name: seen.append(keep(df, name)) or seen[-1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = spark.range(20000).select(F.when(c("id") % 2 == 0, "hot").otherwise((c("id") % 97).cast("string")).alias("k"), ((c("id") * 7919) % 20011).alias("t"), (c("id") % 5 - 2).alias("v"))
+        got = prefix.prefix_sums(rows, ["k", "t"], {"n": F.lit(1), "s": c("v")}).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    total = 0
+    for i, r in enumerate(sorted(got, key=lambda r: (r["k"], r["t"])), 1):
+        total += r["v"]
+        assert (r["n"], r["s"]) == (i, total)
+    sizes = sorted(r["count"] for r in seen[0].groupBy("_task").count().collect())
+    assert len(sizes) > 4 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+    assert prefix.prefix_sums(rows.limit(0), ["k", "t"], {"n": F.lit(1)}).count() == 0
+
+
+def test_busy_key_by_brute_force(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    data = [(i, None if i % 9 == 0 else "k", t0 + dt.timedelta(seconds=(i * 37) % 300), i % 3 == 0) for i in range(900)]
+    df = spark.createDataFrame(data, "id long, k string, ts timestamp, bad boolean")
+    counts = {r.id: r.n for r in L.trailing_count(df, "k", "ts", 60, "n").collect()}
+    assert counts == {i: sum(1 for _, kk, t, _ in data if kk == k and ts - dt.timedelta(seconds=60) <= t <= ts) for i, k, ts, _ in data}
+    assert L.trailing_count(df.limit(0), "k", "ts", 60, "n").count() == 0 == L.rolling_failures(df.limit(0), "k", "ts", "id", c("bad")).count()
