@@ -372,6 +372,37 @@ def _fuzzy() -> str:
 
 
 ANSWERS["brand_fuzzy_topk"] = _fuzzy()
+
+
+def _joined_masters(select: str, texts: str | None = None) -> str:
+    """The resolution chain over master tables that grow with parts and suppliers."""
+    from oracle import base
+
+    norm = r"trim(regexp_replace(lower(brand), '[^\p{L}\p{N}]', ' ', 'g'))"
+    toks = f"list_sort(list_filter(string_split_regex({norm}, ' +'), lambda w: w <> ''))"
+    brands = (
+        f"SELECT rnk, brand FROM ({base.CTES['brand_rows']}) UNION ALL SELECT p_partkey + 1000, {feeds.PART_BRAND_SQL} FROM part "
+        "UNION ALL SELECT s_suppkey + 1000000000, s_name FROM supplier"
+    )
+    pattern = r"'\b' || regexp_replace(lower(s_name), '([^\w\s])', '\\\1', 'g') || '\b'"
+    own = {
+        "brand_rows": f"SELECT rnk, {norm} AS norm, {toks} AS toks, array_to_string({toks}, ' ') AS ordered, brand FROM ({brands})",
+        "alias_rows": f"SELECT ord, alias, brand, pattern FROM ({base.CTES['alias_rows']}) UNION ALL SELECT s_suppkey + 1000000, lower(s_name), upper(s_name), {pattern} FROM supplier",
+        "prefix_rows": f"SELECT prefix, brand FROM ({base.CTES['prefix_rows']}) UNION ALL SELECT 'hom' || s_suppkey, s_name FROM supplier",
+        "maker_rows": f"SELECT brand_key, maker FROM ({base.CTES['maker_rows']}) UNION ALL SELECT lower(s_name), s_name || ' Inc' FROM supplier",
+    }
+    if texts:
+        own |= {"texts": texts, "known_texts": "SELECT t, NULL AS exact_brand, NULL AS held_brand FROM texts"}
+    names = ["base", "feed", "brand_rows", "alias_rows", "prefix_rows", "maker_rows", "cleaned", "cleaned2", "texts", "known_texts", "fuzzy_texts", "scored_texts", "brand_match", "prefixed", "resolved0", "resolved"]
+    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({own.get(n, base.CTES[n])})" for n in names) + "\n" + select
+
+
+ANSWERS["brand_fuzzy_join"] = _joined_masters(
+    "SELECT t AS text, brand, round(score, 3) AS score FROM brand_match WHERE score >= 0.80",
+    "SELECT DISTINCT unnest([brand[1:2] || 'x' || brand[4:], brand || ' tools']) AS t FROM brand_rows WHERE rnk >= 1000",
+)
+ANSWERS["resolve_entity_join"] = _joined_masters("SELECT _ordinal, brand, manufacturer, supplier, brand_score, brand_source FROM resolved")
+ANSWERS["enrich_join"] = _joined_masters("SELECT _ordinal, status, brand, manufacturer, category FROM resolved")
 answer("resolve_entity", "SELECT _ordinal, brand, manufacturer, supplier, brand_score, brand_source FROM resolved")
 on_feed("is_distributor", distributor=distributor("Part_Manuf"))
 answer(

@@ -199,36 +199,41 @@ def resolve_entity(
     named_hit = F.coalesce(F.col("_named")["score"] >= 0.80, F.lit(False))
     open_2 = open_1 & ~named_hit & ~is_distributor(F.col(raw_manuf), vocab)
     df = add_brand_match(df, raw_manuf, "_maker", 0.80, vocab, open_2)
-    maker_hit = F.coalesce(F.col("_maker")["score"] >= 0.80, F.lit(False))
+    df = decided(df, raw_brand, raw_manuf, "_prefix", "_desc", "_named", "_maker").drop("_prefix", "_desc", "_named", "_maker")
+    return with_supplier(df, raw_manuf).withColumn("manufacturer", manufacturer_of(F.col("brand"), vocab)).select(
+        *[c for c in df.columns if c not in ("brand", "brand_score", "brand_source")], "brand", "manufacturer", "supplier", "brand_score", "brand_source"
+    )
+
+
+def decided(df: DataFrame, raw_brand: str, raw_manuf: str, prefix: str, desc: str, named: str, maker: str) -> DataFrame:
+    """Add ``brand``, ``brand_score`` and ``brand_source``: the first source that says something.
 
+    ``prefix`` is a brand; the others are (brand, score), null where the source is not to be used.
+    """
+    good = lambda m, least: F.coalesce(F.col(m)["score"] >= least, F.lit(False))
     fallback = F.when(
         (F.col(raw_brand) != "") & ~F.startswith(F.col(raw_brand), F.lit("--")), F.col(raw_brand)
     ).otherwise(text_or(F.col(raw_manuf), F.lit("")))
 
     def result(brand: Column, score: Column, source: str) -> Column:
-        return F.struct(
-            brand.alias("brand"), score.alias("score"), F.lit(source).alias("source")
-        )
+        return F.struct(brand.alias("brand"), F.round(score, 3).alias("score"), F.lit(source).alias("source"))
+
+    def matched(m: str, source: str) -> Column:
+        return result(F.col(m)["brand"], F.col(m)["score"], source)
 
     chosen = (
-        F.when(F.col("_prefix").isNotNull(), result(F.col("_prefix"), F.lit(1.0), "prefix"))
-        .when(desc_hit, result(F.col("_desc")["brand"], F.col("_desc")["score"], "description"))
-        .when(named_hit, result(F.col("_named")["brand"], F.col("_named")["score"], "brand_column"))
-        .when(maker_hit, result(F.col("_maker")["brand"], F.col("_maker")["score"], "manufacturer"))
-        .otherwise(
-            result(fallback, F.when(fallback != "", F.lit(0.5)).otherwise(F.lit(0.0)), "fallback")
-        )
+        F.when(F.col(prefix).isNotNull(), result(F.col(prefix), F.lit(1.0), "prefix"))
+        .when(good(desc, 0.85), matched(desc, "description"))
+        .when(good(named, 0.80), matched(named, "brand_column"))
+        .when(good(maker, 0.80), matched(maker, "manufacturer"))
+        .otherwise(result(fallback, F.when(fallback != "", F.lit(0.5)).otherwise(F.lit(0.0)), "fallback"))
     )
-    df = df.withColumn("_hit", chosen).drop("_prefix", "_desc", "_named", "_maker")
-    return df.withColumns(
-        {
-            "brand": F.col("_hit.brand"),
-            "manufacturer": manufacturer_of(F.col("_hit.brand"), vocab),
-            "supplier": F.coalesce(strip(F.col(raw_manuf)), F.lit("")),
-            "brand_score": F.col("_hit.score"),
-            "brand_source": F.col("_hit.source"),
-        }
-    ).drop("_hit")
+    df = df.withColumn("_hit", chosen)
+    return df.withColumns({"brand": F.col("_hit.brand"), "brand_score": F.col("_hit.score"), "brand_source": F.col("_hit.source")}).drop("_hit")
+
+
+def with_supplier(df: DataFrame, raw_manuf: str) -> DataFrame:
+    return df.withColumn("supplier", F.coalesce(strip(F.col(raw_manuf)), F.lit("")))
 
 
 def alias_table(spark, vocab: Vocabulary = DEFAULT) -> DataFrame:

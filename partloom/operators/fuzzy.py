@@ -2,13 +2,26 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from partloom import vocab as V
 from partloom.functions.text import strip
-from partloom.operators.common import materialize
-from partloom.operators.entity import NEAR_LENGTHS, TOKEN_WEIGHT, comparable, embedded_alias_join, similarity
-from partloom.operators.master import lookup_join
+from partloom.operators.common import materialize, same_key
+from partloom.operators.entity import (
+    NEAR_LENGTHS,
+    TOKEN_WEIGHT,
+    comparable,
+    decided,
+    embedded_alias_join,
+    is_distributor,
+    similarity,
+    with_supplier,
+    without_marks,
+)
+from partloom.operators.master import lookup_join, prefix_join
 
 #: Scores a text can have without being near a brand: it holds the brand, or a word of it, at up to FAR times the length.
 FAR, HELD_SCORE = 8, 0.9
@@ -129,5 +142,40 @@ def match_brands(texts: DataFrame, brands: DataFrame, aliases: DataFrame, cutoff
     found = exact.where("exact IS NOT NULL").select("text", entry(F.col("exact"), F.lit(1.0)).alias("m"))
     found = found.unionByName(held.where("embedded_brand IS NOT NULL").select("text", entry(F.col("embedded_brand"), F.lit(0.95)).alias("m")))
     rest = held.where("embedded_brand IS NULL").select("text").join(near, "text", "left")
-    matched = F.when(F.col("score").isNotNull(), entry(F.col("brand"), F.round("score", 3))).otherwise(entry(strip(F.col("text")), F.lit(0.0)))
+    matched = F.when(F.col("score").isNotNull(), entry(F.col("brand"), F.col("score"))).otherwise(entry(strip(F.col("text")), F.lit(0.0)))
     return found.unionByName(rest.select("text", matched.alias("m"))).select("text", "m.brand", "m.score")
+
+
+@dataclass(frozen=True)
+class Masters:
+    """Master tables of any size: ``brands`` (ord, brand), ``aliases`` (ord, alias, brand), and ``prefixes`` of part numbers and
+    ``makers`` of brands, both (key, value) with unique keys in lower case."""
+
+    brands: DataFrame
+    aliases: DataFrame
+    prefixes: DataFrame
+    makers: DataFrame
+
+
+def resolve_entity_join(df: DataFrame, desc: str, mpn: str, raw_brand: str, raw_manuf: str, masters: Masters) -> DataFrame:
+    """``entity.resolve_entity`` with master tables of any size.
+
+    Part numbers and texts are looked up once for each distinct one: the texts of all three columns that may be needed go through
+    one pass of ``match_brands`` and are joined back.  A text that many rows have is an ordinary skewed left side of these joins.
+    """
+    numbers = df.select(F.col(mpn).alias("_n")).where("_n <> ''").distinct()
+    known = prefix_join(numbers, "_n", F.col("_n"), masters.prefixes, "_prefix").select("_n", "_prefix")
+    rows = materialize(df.join(known, same_key(mpn, "_n"), "left").drop("_n"), "numbered")
+    open_ = rows.where("_prefix IS NULL")
+    named = F.when(~strip(F.col(raw_brand)).isin(V.BRAND_PLACEHOLDERS), F.col(raw_brand))
+    maker = F.when(~is_distributor(F.col(raw_manuf)), F.col(raw_manuf))
+    texts = open_.select(F.explode(F.array(F.col(desc), named, maker)).alias("text"))
+    found = materialize(match_brands(texts, masters.brands, masters.aliases, 0.80), "matched")
+    keyed = rows.withColumns({"_t_desc": F.col(desc), "_t_named": named, "_t_maker": maker})
+    for name in ("desc", "named", "maker"):
+        own = found.select(F.col("text").alias(f"_m_{name}"), F.struct("brand", "score").alias(f"_{name}"))
+        keyed = keyed.join(own, same_key(f"_t_{name}", f"_m_{name}"), "left").drop(f"_m_{name}", f"_t_{name}")
+    out = materialize(decided(keyed, raw_brand, raw_manuf, "_prefix", "_desc", "_named", "_maker").drop("_prefix", "_desc", "_named", "_maker"), "decided")
+    out = with_supplier(lookup_join(out, F.lower(strip(F.col("brand"))), masters.makers, "_legal"), raw_manuf)
+    legal = F.coalesce("_legal", without_marks(F.col("brand")), F.lit(""))
+    return out.withColumn("manufacturer", legal).select(*df.columns, "brand", "manufacturer", "supplier", "brand_score", "brand_source")

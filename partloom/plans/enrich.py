@@ -13,6 +13,7 @@ from partloom.functions.text import blank_to_null, clean_placeholders, present,
 from partloom.operators import attributes as A
 from partloom.operators import delivery as D
 from partloom.operators import validate as Q
+from partloom.operators.fuzzy import Masters, resolve_entity_join
 from partloom.operators.entity import resolve_entity
 from partloom.vocab import DEFAULT, Vocabulary
 
@@ -39,8 +40,10 @@ def prepare(feed: DataFrame) -> DataFrame:
     )
 
 
-def resolve(feed: DataFrame, vocab: Vocabulary = DEFAULT) -> DataFrame:
-    df = resolve_entity(prepare(feed), "desc_clean", "Mfg_Part_Num", "brand_clean", "manuf_clean", vocab)
+def resolve(feed: DataFrame, vocab: Vocabulary = DEFAULT, masters: Masters | None = None) -> DataFrame:
+    """Brand, manufacturer and category; from ``masters`` if there are tables, else from the lists that come with the package."""
+    columns = ("desc_clean", "Mfg_Part_Num", "brand_clean", "manuf_clean")
+    df = resolve_entity(prepare(feed), *columns, vocab) if masters is None else resolve_entity_join(prepare(feed), *columns, masters)
     return df.withColumn(
         "category", X.category(F.col("desc_clean"), F.col("Mfg_Part_Num"), F.col("brand"))
     )
@@ -52,13 +55,14 @@ def extract(
     replies: DataFrame | None = None,
     vocab: Vocabulary = DEFAULT,
     spread: int | None = None,
+    masters: Masters | None = None,
 ) -> DataFrame:
     """Resolved feed with ``attrs``, ``raw_specs``, ``spec_sections``, ``ev`` and ``source_mode``.
 
     ``spread`` deals the rows out over that many tasks first.  It is the caller's, for a feed in one small file; a
     large scan has tasks enough.
     """
-    df = resolve(feed.repartition(spread) if spread else feed, vocab)
+    df = resolve(feed.repartition(spread) if spread else feed, vocab, masters)
     if evidence is not None:
         df = A.join_evidence(df, A.prepare_evidence(evidence), "brand", "Mfg_Part_Num", "_evidence_ordinal")
     else:
@@ -73,13 +77,13 @@ def extract(
     return df.withColumn("spec_sections", F.col("tech.listed")).drop("tech", "tech_specs", "heur", "model")
 
 
-def validated(feed, evidence=None, replies=None, vocab: Vocabulary = DEFAULT, spread: int | None = None) -> DataFrame:
-    return Q.validate_attributes(extract(feed, evidence, replies, vocab, spread), "category", vocab)
+def validated(feed, evidence=None, replies=None, vocab: Vocabulary = DEFAULT, spread: int | None = None, masters: Masters | None = None) -> DataFrame:
+    return Q.validate_attributes(extract(feed, evidence, replies, vocab, spread, masters), "category", vocab)
 
 
-def scored(feed, evidence=None, replies=None, vocab: Vocabulary = DEFAULT, spread: int | None = None) -> DataFrame:
+def scored(feed, evidence=None, replies=None, vocab: Vocabulary = DEFAULT, spread: int | None = None, masters: Masters | None = None) -> DataFrame:
     """Validated rows with channel texts, confidence, tier and the review decision."""
-    df = validated(feed, evidence, replies, vocab, spread)
+    df = validated(feed, evidence, replies, vocab, spread, masters)
     df = D.channel_descriptions(
         df,
         F.coalesce(F.col("final.brand"), F.col("brand")),
@@ -98,9 +102,9 @@ def scored(feed, evidence=None, replies=None, vocab: Vocabulary = DEFAULT, sprea
     )
 
 
-def enrich(feed, evidence=None, replies=None, vocab: Vocabulary = DEFAULT, spread: int | None = None) -> DataFrame:
+def enrich(feed, evidence=None, replies=None, vocab: Vocabulary = DEFAULT, spread: int | None = None, masters: Masters | None = None) -> DataFrame:
     """Everything the delivery record is made of, one narrow row per feed row."""
-    df = D.combined_specs(scored(feed, evidence, replies, vocab, spread))
+    df = D.combined_specs(scored(feed, evidence, replies, vocab, spread, masters))
     df = D.align_slots(df)
     df = df.withColumn(
         "part_key", F.upper(strip(F.coalesce(blank_to_null(F.col("Mfg_Part_Num")), F.col("final.mpn"), F.lit(""))))

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from partloom import vocab as V
+from partloom.operators.fuzzy import Masters
+from partloom.operators.master import dimension
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -107,6 +109,31 @@ def with_short_columns(df: DataFrame) -> DataFrame:
     )
 
 
+#: Brands that a catalog adds: one for each part.
+PART_BRAND_SQL = "p_name || ' ' || substr(md5(CAST(p_partkey AS STRING)), 1, 5)"
+
+
+def master_brands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ord, brand): the brands that come with the package, then one for each part, then the suppliers."""
+    own = spark.createDataFrame(list(enumerate(V.DEFAULT.canonical)), "ord bigint, brand string")
+    parts = table(spark, sf_dir, "part").select((F.col("p_partkey") + 1000).alias("ord"), F.expr(PART_BRAND_SQL).alias("brand"))
+    suppliers = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") + 1_000_000_000).alias("ord"), F.col("s_name").alias("brand"))
+    return own.unionByName(parts).unionByName(suppliers)
+
+
+def masters(spark: SparkSession, sf_dir: str) -> Masters:
+    """Master tables that grow with the parts and suppliers."""
+    suppliers, rows = table(spark, sf_dir, "supplier"), lambda pairs: dimension(spark, pairs)
+    aliases = [(i, a, b) for i, (a, b) in enumerate(V.DEFAULT.aliases.items())]
+    more = suppliers.select((F.col("s_suppkey") + 1_000_000).alias("ord"), F.lower("s_name").alias("alias"), F.upper("s_name").alias("brand"))
+    prefixes = suppliers.select(F.concat(F.lit("hom"), F.col("s_suppkey").cast("string")).alias("key"), F.col("s_name").alias("value"))
+    makers = suppliers.select(F.lower("s_name").alias("key"), F.concat(F.col("s_name"), F.lit(" Inc")).alias("value"))
+    return Masters(
+        master_brands(spark, sf_dir), spark.createDataFrame(aliases, "ord bigint, alias string, brand string").unionByName(more),
+        rows(V.DEFAULT.prefixes.items()).unionByName(prefixes), rows(V.DEFAULT.manufacturers.items()).unionByName(makers),
+    )
+
+
 def without_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys of the parts that were once returned as a single piece: they have no reference record."""
     return table(spark, sf_dir, "lineitem").where("l_quantity = 1 AND l_returnflag = 'R'").select("l_partkey").distinct()

@@ -19,6 +19,7 @@ from partloom.operators import attributes as A
 from partloom.operators import delivery as D
 from partloom.operators import entity as N
 from partloom.operators import evaluate as E
+from partloom.operators import fuzzy as Z
 from partloom.operators import ingest as G
 from partloom.operators import master as H
 from partloom.operators import metrics as M
@@ -432,6 +433,29 @@ def brand_fuzzy_topk(s, d):
     return N.add_brand_match(noisy, "text", "hit", 0.80).select("text", "hit.brand", "hit.score")
 
 
+@query
+def brand_fuzzy_join(s, d):
+    """Misspelt brands of every part, against a brand table that grows with the parts."""
+    spelled = F.explode(F.array(F.overlay("brand", F.lit("x"), 3, 1), F.concat("brand", F.lit(" tools"))))
+    texts = feeds.master_brands(s, d).where("ord >= 1000").select(spelled.alias("text")).distinct()
+    found = Z.best_brands(texts, feeds.master_brands(s, d), 0.80)
+    return found.select("text", "brand", F.round("score", 3).alias("score"))
+
+
+@query
+def resolve_entity_join(s, d):
+    columns = ("desc_clean", "Mfg_Part_Num", "brand_clean", "manuf_clean")
+    rows = Z.resolve_entity_join(P.prepare(feeds.feed(s, d)), *columns, feeds.masters(s, d))
+    return rows.select(K, "brand", "manufacturer", "supplier", "brand_score", "brand_source")
+
+
+@query
+def enrich_join(s, d):
+    """The enrichment with master tables that grow."""
+    rows = P.scored(feeds.feed(s, d), masters=feeds.masters(s, d))
+    return rows.select(K, "status", "brand", "manufacturer", "category")
+
+
 @query
 def resolve_entity(s, d):
     return P.resolve(feeds.feed(s, d)).select(K, "brand", "manufacturer", "supplier", "brand_score", "brand_source")
