@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Generator, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -45,11 +46,10 @@ SECTIONS = frozenset({"thead", "tbody", "tfoot"})
 CELLS = frozenset({"td", "th"})
 #: An end tag does not close elements beyond these.
 SCOPES = frozenset("td th caption table template".split())
-#: Elements nested deeper give their content to the last one that fits, so no page is too deep.
-DEEPEST = 200
 #: Columns are aligned up to this width; longer cells are kept whole and stand out.
 WIDEST = 60
-MOST_SPAN = 100
+#: FIXED VALUES: the largest spans of HTML.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
 
 _TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</[^a-zA-Z][^>]*(?:>|\Z)"
@@ -90,11 +90,15 @@ def build(source: str) -> Node:
     """The tree of a page, with the end tags and table parts that HTML lets authors leave out."""
     root = Node("#root", {})
     stack = [root]
+    open_tags: Counter[str] = Counter()
 
     def pop_to(index: int) -> None:
+        open_tags.subtract(node.tag for node in stack[index:])
         del stack[index:]
 
     def find(names: frozenset[str], until: frozenset[str]) -> int | None:
+        if not any(open_tags[name] > 0 for name in names):
+            return None  # so that a deep page of tags left open is not searched again and again
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in names:
                 return i
@@ -105,8 +109,9 @@ def build(source: str) -> Node:
     def push(tag: str, attributes: dict[str, str]) -> None:
         node = Node(tag, attributes, _visible(tag, attributes))
         stack[-1].children.append(node)
-        if tag not in VOID and len(stack) < DEEPEST:
+        if tag not in VOID:
             stack.append(node)
+            open_tags[tag] += 1
 
     def start(tag: str, attributes: dict[str, str]) -> None:
         if tag in ("html", "body"):
@@ -117,13 +122,13 @@ def build(source: str) -> Node:
                 push(tag, attributes)
             return
         if stack[-1].tag == "head" and tag not in ("title", "meta", "link", "style", "script", "base", "template", "noscript"):
-            stack.pop()
+            pop_to(-1)
         if tag in CLOSES_P:
             at = find(frozenset({"p"}), SCOPES)
             if at is not None:
                 pop_to(at)
             if tag in HEADINGS and stack[-1].tag in HEADINGS:
-                stack.pop()
+                pop_to(-1)
         if tag in IMPLIED_ENDS:
             names, until = IMPLIED_ENDS[tag]
             while (at := find(names, until)) is not None:
@@ -152,7 +157,7 @@ def build(source: str) -> Node:
             return
         here = stack[-1]
         if here.tag == "head" and not piece.isspace():
-            stack.pop()
+            pop_to(-1)
             here = stack[-1]
         here.children.append(piece)
 
@@ -178,7 +183,7 @@ def build(source: str) -> Node:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.IGNORECASE).search(source, at)
             content = source[at : close.start() if close else size]
             text(html.unescape(content) if tag in ("title", "textarea") else content)
-            stack.pop()
+            pop_to(-1)
             at = close.end() if close else size
     return root
 
@@ -235,24 +240,37 @@ def _number(text: str | None, default: int) -> int:
     return int(found[1]) if found else default
 
 
-def _span(node: Node, name: str) -> int:
-    return min(max(_number(node.attributes.get(name), 1), 1), MOST_SPAN)
+def _span(node: Node, name: str, most: int) -> int:
+    return min(max(_number(node.attributes.get(name), 1), 1), most)
+
+
+def _unwound(task: Generator):
+    """Run functions that yield their calls of one another, with a stack of their own: no page is too deep."""
+    stack, value = [task], None
+    while stack:
+        try:
+            task, value = stack[-1].send(value), None
+            stack.append(task)
+        except StopIteration as done:
+            stack.pop()
+            value = done.value
+    return value
 
 
-def _block(node: Node, kept: bool, depth: int) -> list[str]:
+def _block(node: Node, kept: bool, depth: int) -> Generator:
     """The lines of the content of a node."""
     inner = Layout()
-    _children(node, inner, kept, depth)
+    yield _children(node, inner, kept, depth)
     inner.flush()
     return inner.lines
 
 
-def _children(node: Node, out: Layout, kept: bool, depth: int) -> None:
+def _children(node: Node, out: Layout, kept: bool, depth: int) -> Generator:
     for child in node.children:
         if isinstance(child, str):
             out.put(child, kept)
         elif child.visible:
-            _render(child, out, kept, depth)
+            yield _render(child, out, kept, depth)
 
 
 def _indented(out: Layout, lines: list[str], mark: str, rest: str) -> None:
@@ -263,7 +281,7 @@ def _indented(out: Layout, lines: list[str], mark: str, rest: str) -> None:
     out.first, out.rest = (before[1] if lines else before[0]), before[1]
 
 
-def _list(node: Node, out: Layout, kept: bool, depth: int) -> None:
+def _list(node: Node, out: Layout, kept: bool, depth: int) -> Generator:
     ordered, number = node.tag == "ol", _number(node.attributes.get("start"), 1)
     for child in node.children:
         if isinstance(child, str):
@@ -273,13 +291,13 @@ def _list(node: Node, out: Layout, kept: bool, depth: int) -> None:
         if not child.visible:
             continue
         if child.tag != "li":
-            _render(child, out, kept, depth)
+            yield _render(child, out, kept, depth)
             continue
         out.flush()
         number = _number(child.attributes.get("value"), number)
         mark = f"{number}. " if ordered else "- "
         number += 1
-        _indented(out, _block(child, kept, depth) or [""], mark, " " * len(mark))
+        _indented(out, (yield _block(child, kept, depth)) or [""], mark, " " * len(mark))
 
 
 def _rows(node: Node) -> tuple[list[list[Node]], list[Node]]:
@@ -307,11 +325,11 @@ def _rows(node: Node) -> tuple[list[list[Node]], list[Node]]:
     return [*head, *body, *foot], rest
 
 
-def _table(node: Node, out: Layout, depth: int) -> None:
+def _table(node: Node, out: Layout, depth: int) -> Generator:
     rows, rest = _rows(node)
     for other in rest:  # captions, and content that stands outside of cells
         out.flush()
-        _children(other, out, False, depth)
+        yield _children(other, out, False, depth)
     out.flush()
     placed: list[dict[int, tuple[list[str], int]]] = []
     taken: dict[int, int] = {}  # column: rows that a cell above still covers
@@ -323,7 +341,7 @@ def _table(node: Node, out: Layout, depth: int) -> None:
         for cell in row:
             while at in covered:
                 at += 1
-            lines, wide, deep = _block(cell, False, depth + 1), _span(cell, "colspan"), _span(cell, "rowspan")
+            lines, wide, deep = (yield _block(cell, False, depth + 1)), _span(cell, "colspan", MOST_COLUMNS), _span(cell, "rowspan", MOST_ROWS)
             line[at] = (lines, wide)
             if wide == 1:
                 own = max((len(x) for x in lines), default=0)
@@ -348,7 +366,7 @@ def _table(node: Node, out: Layout, depth: int) -> None:
             out._emit(" | ".join(shown))
 
 
-def _render(node: Node, out: Layout, kept: bool, depth: int) -> None:
+def _render(node: Node, out: Layout, kept: bool, depth: int) -> Generator:
     tag = node.tag
     if tag == "br":
         out.new_line()
@@ -360,27 +378,27 @@ def _render(node: Node, out: Layout, kept: bool, depth: int) -> None:
     elif tag not in BLOCKS:
         if tag == "wbr" or not node.children:
             return
-        _children(node, out, kept or tag == "textarea", depth)
+        yield _children(node, out, kept or tag == "textarea", depth)
     else:
         spaced = tag in SPACED and not (tag in ("ul", "ol", "menu", "dir") and depth > 0)
         out.block(spaced)
         if tag in ("ul", "ol", "menu", "dir"):
-            _list(node, out, kept, depth + 1)
+            yield _list(node, out, kept, depth + 1)
         elif tag == "table":
-            _table(node, out, depth)
+            yield _table(node, out, depth)
         elif tag == "blockquote":
-            _indented(out, _block(node, kept, depth), "> ", "> ")
+            _indented(out, (yield _block(node, kept, depth)), "> ", "> ")
         elif tag == "dd":
-            _indented(out, _block(node, kept, depth), "  ", "  ")
+            _indented(out, (yield _block(node, kept, depth)), "  ", "  ")
         elif tag == "pre":
             first = node.children[0] if node.children else None
             if isinstance(first, str) and first.startswith("\n"):
                 node.children[0] = first[1:]
-            _children(node, out, True, depth)
+            yield _children(node, out, True, depth)
             if out.parts and not "".join(out.parts).strip():
                 out.parts = []
         else:
-            _children(node, out, kept, depth)
+            yield _children(node, out, kept, depth)
         out.block(spaced)
 
 
@@ -388,7 +406,7 @@ def visible_text(source: str | None) -> str:
     """All visible text of a page, laid out in lines."""
     if not source:
         return ""
-    return "\n".join(_block(build(source.replace("\0", "�")), False, 0)).strip("\n")
+    return "\n".join(_unwound(_block(build(source.replace("\0", "�")), False, 0))).strip("\n")
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", source: str = "html", out: str = "text") -> DataFrame:

@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 from html.parser import HTMLParser
@@ -83,3 +84,88 @@ def test_rows(spark):
     got = sorted((r["page_id"] or 0, len(r["text"])) for r in extract(pages).collect())
     assert got == [(0, 1), (1, 0), (1, 1), (2, 0), (3, 499_999)]
     assert extract(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("tag", ["span", "div", "blockquote", "li", "b"])
+def test_deep_pages(tag):
+    deep = f"<{tag}>" * 1000
+    page = f"a {deep}<script>var x=1;</script><style>p{{}}</style><i hidden>secret</i>visible<p>last"
+    words = visible_text(page).replace(">", " ").replace("- ", " ").split()
+    assert words == ["a", "visible", "last"] and visible_text("<b>" * 100_000 + "x") == "x"
+
+
+def test_wide_spans():
+    page = "<table><tr><td colspan=150>w<td>x<tr><td>" + "<td>".join("abc" for _ in range(151)) + "</table>"
+    first, second = visible_text(page).split("\n")
+    assert first.endswith("| x") and second.count("|") == 150 and first.index("| x") == second.rindex("| abc")
+
+
+def plain(tree, hidden=False):
+    """A second renderer for a few tags: lines of words; None is a blank line between blocks that keep a distance."""
+    lines, words = [], []
+
+    def flush():
+        if words:
+            lines.append(" ".join(words))
+            words.clear()
+
+    def walk(node):
+        if isinstance(node, str):
+            words.append(node)
+            return
+        tag, children = node
+        if tag in ("hidden", "script"):
+            return
+        if tag in ("span", "b"):
+            for child in children:
+                walk(child)
+        elif tag == "br":
+            lines.append(" ".join(words))
+            words.clear()
+        else:
+            flush()
+            if tag == "p":
+                lines.append(None)
+            for child in children:
+                walk(child)
+            flush()
+            if tag == "p":
+                lines.append(None)
+
+    for node in tree:
+        walk(node)
+    flush()
+    out = []
+    for i, line in enumerate(lines):
+        if line is not None:
+            if out and lines[i - 1] is None:
+                out.append("")
+            out.append(line)
+    return "\n".join(out).strip("\n")
+
+
+def source(node):
+    if isinstance(node, str):
+        return node + " "
+    tag, children = node
+    inner = "".join(map(source, children))
+    if tag == "hidden":
+        return f"<span hidden>{inner}</span>"
+    return "<br>" if tag == "br" else f"<{tag}>{inner}</{tag}>"
+
+
+def test_random_trees_by_a_second_renderer():
+    draw = random.Random(12)
+
+    def tree(depth, inline):
+        if depth == 0 or draw.random() < 0.35:
+            return f"w{draw.randrange(1000)}"
+        tag = draw.choice(["span", "b", "hidden", "script"] + ([] if inline else ["div", "div", "p"]))
+        if tag == "script":
+            return tag, ["var x = 1 < 2;"]  # its content is not markup
+        return tag, [tree(depth - 1, inline or tag not in ("div",)) for _ in range(draw.randrange(0, 4))]
+
+    for _ in range(400):
+        nodes = [tree(4, False) for _ in range(draw.randrange(1, 5))]
+        page = "".join(map(source, nodes))
+        assert visible_text(page) == plain(nodes), page
