@@ -7,21 +7,20 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from partloom.llm.heap_kmeans import quantized
 from partloom.llm.storage import written
 
 SHARD_ROWS, BLOCK_QUERIES, LEAF = 8192, 4096, 64
-#: Quantised components are held within this, so that scores of up to 64 components fit 64 bits.
-LARGEST = 1 << 28
-_EXACT = float(1 << 53)
+_LARGEST = (1 << 63) - 1
 
 
 class Tree:
     """A KD-tree over integer vectors: median splits of the widest axis, a tight box and the least id for each node."""
 
-    def __init__(self, ids: np.ndarray, points: np.ndarray):
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, points: np.ndarray):
         self.order = np.arange(len(ids))
         self.spans: list[tuple[int, int]] = []
         self.children: list[tuple[int, int] | None] = []
@@ -44,14 +43,14 @@ class Tree:
                 self.order[a:b] = self.order[a:b][np.argpartition(own[:, axis], mid)]
                 todo += [(a, a + mid, node), (a + mid, b, node)]
         self.low, self.high, self.least = np.array(lows), np.array(highs), np.array(least)
-        self.ids, self.points = ids[self.order], points[self.order]
+        self.ids, self.rows, self.points = ids[self.order], rows[self.order], points[self.order]
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
         """The largest inner product that each query can have with a point of each box."""
         return np.maximum(queries, 0) @ self.high.T + np.minimum(queries, 0) @ self.low.T
 
     def search(self, query: np.ndarray, bound: np.ndarray, own: int, k: int, kth: float) -> list[tuple]:
-        """The k best (score, -id) of the shard, none of them below ``kth``.
+        """The k best (score, -id) of the shard but for the row ``own``, none of them below ``kth``.
 
         Boxes are opened best first.  A box is left out if even its bound is below the k-th score so far or below the
         one handed over from another shard, or equals it and holds no smaller id.
@@ -69,10 +68,10 @@ class Tree:
                     heapq.heappush(heap, (-bound[child], child))
                 continue
             a, b = self.spans[node]
-            scores, ids = self.points[a:b] @ query, self.ids[a:b]
+            scores, ids, rows = self.points[a:b] @ query, self.ids[a:b], self.rows[a:b]
             least = max(kth, best[0][0]) if len(best) == k else kth
             for i in np.flatnonzero(scores >= least):
-                if ids[i] != own:
+                if rows[i] != own:
                     found = (scores[i], -ids[i])
                     if len(best) < k:
                         heapq.heappush(best, found)
@@ -81,12 +80,6 @@ class Tree:
         return best
 
 
-def quantized(vector: str) -> Column:
-    """floor(256 * x) of every component, as double."""
-    whole = F.transform(vector, lambda x: F.floor(F.greatest(F.least(x.cast("double") * 256, F.lit(float(LARGEST))), F.lit(-float(LARGEST)))))
-    return F.transform(whole, lambda x: x.cast("long"))
-
-
 def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
     flat = [c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks]
     return np.concatenate([np.zeros(0, np.int64), *flat]).reshape(len(column), dim)
@@ -99,15 +92,18 @@ def _searcher(k: int):
         dim, rows = key[0].as_py(), []
         if vectors.num_rows and queries.num_rows:
             points, asked = _matrix(vectors["v"], dim), _matrix(queries["v"], dim)
-            most = float(abs(points).max(initial=0)) * float(abs(asked).max(initial=0)) * dim
-            if most < _EXACT:  # sums of such products are exact in floating point
-                points, asked = points.astype(np.float64), asked.astype(np.float64)
-            tree = Tree(vectors["vec_id"].to_numpy(), points)
+            most = int(max(points.max(initial=0), -int(points.min(initial=0)))) * int(max(asked.max(initial=0), -int(asked.min(initial=0)))) * dim
+            # sums of products below 2^53 are exact in floating point; beyond 64 bits Python's integers are used
+            kind = np.float64 if most < 1 << 53 else np.int64 if most <= _LARGEST else object
+            points, asked = points.astype(kind), asked.astype(kind)
+            tree = Tree(vectors["vec_id"].to_numpy(), vectors["row"].to_numpy(), points)
             ids, own, kth = (queries[n].to_pylist() for n in ("vec_id", "row", "kth"))
             for at in range(0, len(asked), 512):
                 for i, bound in enumerate(tree.bounds(asked[at : at + 512]), at):
                     least = -np.inf if kth[i] is None else kth[i]
-                    rows += [(ids[i], own[i], -j, score) for score, j in tree.search(asked[i], bound, ids[i], k, least)]
+                    rows += [(ids[i], own[i], -j, score) for score, j in tree.search(asked[i], bound, own[i], k, least)]
+        if any(abs(r[3]) > _LARGEST for r in rows):
+            raise OverflowError("a score does not fit 64 bits")
         columns = [pa.array([int(r[i]) for r in rows], pa.int64()) for i in range(4)]
         return pa.Table.from_arrays(columns, schema=schema)
 
@@ -126,18 +122,18 @@ def top_k(
     holds one shard and one block, however large the table.
 
     Rows with a null id or vector, or with a null or non-finite component, take no part.  Vectors meet only vectors of
-    the same length.  A row that repeats id and vector counts once, and a row with the query's id is the query's own.
-    Components beyond 2^20 in size count as 2^20.  With fewer than ``k`` candidates all are returned.  An empty table gives
+    the same length.  Repeated rows are rows of their own: as queries each has its ranks, as candidates each counts, and only the
+    query's own row is none.  A component or a score of a result that does not fit 64 bits is an error.  With fewer than ``k`` candidates all are returned.  An empty table gives
     an empty result.  Further columns are not read.
     """
     sound = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.where(F.col(vec_id).isNotNull() & F.col(vector).isNotNull() & sound)
-    rows = rows.select(F.col(vec_id).cast("long").alias("vec_id"), quantized(vector).alias("v")).groupBy("vec_id", "v").agg(F.lit(1))
-    rows = written(rows.select("vec_id", "v", F.size("v").alias("dim"), F.xxhash64("v").alias("row")), "vectors")
+    rows = rows.select(F.col(vec_id).cast("long").alias("vec_id"), quantized(vector, 256).alias("v"))
+    rows = written(rows.select("vec_id", "v", F.size("v").alias("dim"), F.monotonically_increasing_id().alias("row")), "vectors")
     count, asked = rows.agg(F.count("*"), F.count_if(F.col("vec_id") % every == 0)).first()
     shards, blocks = max(1, -(-count // shard_rows)), max(1, -(-asked // block_queries))
     home = F.pmod(F.xxhash64("vec_id", "row"), F.lit(shards)).cast("int")
-    points = rows.select("vec_id", "v", "dim", home.alias("shard"))
+    points = rows.select("vec_id", "v", "dim", "row", home.alias("shard"))
     again = rows.select(*[F.col(c).alias(c) for c in rows.columns])  # columns of their own: both sides come from one table
     queries = again.where(F.col("vec_id") % every == 0)
     queries = queries.withColumn("block", F.pmod(F.xxhash64("row", "vec_id"), F.lit(blocks)).cast("int"))
@@ -152,7 +148,7 @@ def top_k(
     first = written(
         searched(
             queries.select("vec_id", "v", "dim", "row", F.col("home").alias("shard"), alone, F.lit(None).cast("long").alias("kth")),
-            points.select("vec_id", "v", "dim", "shard", alone),
+            points.select("vec_id", "v", "dim", "row", "shard", alone),
         ),
         "first",
     )
