@@ -11,7 +11,6 @@ from partloom.functions import extract as X
 from partloom.functions.text import blank_to_null, strip
 from partloom.functions.units import with_unit
 from partloom.functions.web import content_hash, json_from_reply
-from partloom.operators.common import first_by, same_key
 from partloom.operators.entity import without_marks
 from partloom.vocab import DEFAULT, Vocabulary
 
@@ -88,29 +87,51 @@ def prepare_evidence(evidence: DataFrame) -> DataFrame:
     )
 
 
-def join_evidence(df: DataFrame, evidence: DataFrame, brand: str, mpn: str, order: str) -> DataFrame:
-    """Add ``ev``: evidence for the same brand and part, else for the part number alone.
+def evidence_lookup(evidence: DataFrame, order: str) -> DataFrame:
+    """(_key, _part, _brands): one row per part number: its first page, and the first page of every brand that has one.
 
-    Evidence is reduced to one row per key before either join, so the feed keeps its row count and
-    a part number with very many feed rows is an ordinary skewed left side.
+    Pages are reduced to one per part number and brand before they meet, so a part fetched very often costs one row a task, and
+    a row here holds as many pages as the part number has brands.  Pages without a part number are left out.
     """
     payload = [c for c in evidence.columns if c not in ("brand", "mpn", order)]
     keyed = evidence.select(
-        F.upper(without_marks(F.col("brand"))).alias("_eb"),
-        F.upper(strip(F.col("mpn"))).alias("_em"),
-        F.col(order).alias("_eo"),
-        F.struct(*payload).alias("ev"),
-    )
-    by_brand = keyed.groupBy("_em", "_eb").agg(F.min_by("ev", "_eo").alias("_ev_brand"))
-    by_part = keyed.groupBy("_em").agg(F.min_by("ev", "_eo").alias("_ev_part"))
-    left = df.withColumn("_m", F.upper(strip(F.col(mpn)))).withColumn(
-        "_b", F.upper(without_marks(F.coalesce(F.col(brand), F.lit(""))))
-    )
-    joined = left.join(by_part, same_key("_m", "_em"), "left").drop("_em")
-    joined = joined.join(by_brand, same_key("_m", "_em") & same_key("_b", "_eb"), "left")
-    return joined.withColumn("ev", F.coalesce("_ev_brand", "_ev_part")).drop(
-        "_m", "_b", "_em", "_eb", "_ev_brand", "_ev_part"
-    )
+        F.upper(strip(F.col("mpn"))).alias("_key"), F.upper(without_marks(F.col("brand"))).alias("_eb"), F.struct(F.col(order).alias("o"), F.struct(*payload).alias("ev")).alias("_e")
+    ).where("_key <> ''")
+    first = keyed.groupBy("_key", "_eb").agg(F.min_by("_e", F.col("_e.o")).alias("_e"))
+    named = F.collect_list(F.when(F.col("_eb") != "", F.struct("_eb", F.col("_e.ev").alias("ev"))))
+    return first.groupBy("_key").agg(F.min_by(F.col("_e.ev"), F.col("_e.o")).alias("_part"), F.map_from_entries(named).alias("_brands"))
+
+
+def reply_lookup(replies: DataFrame) -> DataFrame:
+    """(_key, _content): the least reply of each part number."""
+    return replies.groupBy(F.upper(strip(F.col("mpn"))).alias("_key")).agg(F.min("content").alias("_content"))
+
+
+def join_lookups(df: DataFrame, mpn: str, lookups: Sequence[DataFrame], spread: int | None = None) -> DataFrame:
+    """``df`` with the columns of ``lookups``, each with one row per ``_key``, by part number.
+
+    The lookups are joined with each other first, so ``df`` is exchanged once, and as narrow as the caller has it here.  A part
+    number that very many rows have is an ordinary skewed left side; with ``spread``, for a small feed in one file, rows
+    are dealt to that many tasks by part number.
+    """
+    all_keys = lookups[0]
+    for more in lookups[1:]:
+        all_keys = all_keys.join(more, "_key", "full_outer")
+    left = df.withColumn("_m", F.upper(strip(F.col(mpn))))
+    left = left.repartition(spread, "_m") if spread else left
+    return left.join(all_keys.hint("merge"), F.col("_m") == F.col("_key"), "left").drop("_m", "_key")
+
+
+def chosen_evidence(brand: Column) -> Column:
+    """Of a row with ``_part`` and ``_brands``: the page of the row's brand, else the first page of the part."""
+    own = F.upper(without_marks(F.coalesce(brand, F.lit(""))))
+    return F.coalesce(F.try_element_at("_brands", own), F.col("_part"))
+
+
+def join_evidence(df: DataFrame, evidence: DataFrame, brand: str, mpn: str, order: str) -> DataFrame:
+    """Add ``ev``: evidence for the same brand and part, else for the part number alone; none without a part number."""
+    joined = join_lookups(df, mpn, [evidence_lookup(evidence, order)])
+    return joined.withColumn("ev", chosen_evidence(F.col(brand))).drop("_part", "_brands")
 
 
 def merge_specs(base: Column, over: Column) -> Column:
@@ -232,11 +253,11 @@ def heuristic_attributes(df: DataFrame, desc: str, mpn: str, vocab: Vocabulary =
 
 def join_model_output(df: DataFrame, replies: DataFrame, mpn: str) -> DataFrame:
     """Add ``model``: the parsed reply of an external model for the part, null when unusable."""
-    one = first_by(replies.select("mpn", "content"), ["mpn"], [F.col("content")]).select(
-        F.upper(strip(F.col("mpn"))).alias("_rm"), "content"
-    )
-    one = one.groupBy("_rm").agg(F.min("content").alias("_content"))
-    joined = df.withColumn("_m", F.upper(strip(F.col(mpn)))).join(one, same_key("_m", "_rm"), "left")
+    return parsed_reply(join_lookups(df, mpn, [reply_lookup(replies)]))
+
+
+def parsed_reply(joined: DataFrame) -> DataFrame:
+    """``_content`` parsed as ``model``."""
     joined = joined.withColumn("_json", json_from_reply(F.col("_content"))).withColumn(
         "_parsed",
         F.from_json(
@@ -245,7 +266,7 @@ def join_model_output(df: DataFrame, replies: DataFrame, mpn: str) -> DataFrame:
     )
     usable = F.col("_parsed").isNotNull() & F.col("_parsed._bad").isNull() & F.col("_json").startswith("{")
     return joined.withColumn("model", F.when(usable, F.col("_parsed"))).drop(
-        "_m", "_rm", "_content", "_json", "_parsed"
+        "_content", "_json", "_parsed"
     )
 
 

@@ -59,16 +59,23 @@ def extract(
 ) -> DataFrame:
     """Resolved feed with ``attrs``, ``raw_specs``, ``spec_sections``, ``ev`` and ``source_mode``.
 
-    ``spread`` deals the rows out over that many tasks first.  It is the caller's, for a feed in one small file; a
-    large scan has tasks enough.
+    Evidence and replies are looked up by part number in one join at the start, while rows are narrow; the brand decides later
+    which page of the part is taken.  ``spread`` is the caller's, for a feed in one small file: the number of tasks
+    it is dealt to.
     """
-    df = resolve(feed.repartition(spread) if spread else feed, vocab, masters)
+    lookups = [A.evidence_lookup(A.prepare_evidence(evidence), "_evidence_ordinal")] if evidence is not None else []
+    lookups += [A.reply_lookup(replies)] if replies is not None else []
+    if lookups:
+        feed = A.join_lookups(feed, "Mfg_Part_Num", lookups, spread)
+    elif spread:
+        feed = feed.repartition(spread)
+    df = resolve(feed, vocab, masters)
     if evidence is not None:
-        df = A.join_evidence(df, A.prepare_evidence(evidence), "brand", "Mfg_Part_Num", "_evidence_ordinal")
+        df = df.withColumn("ev", A.chosen_evidence(F.col("brand"))).drop("_part", "_brands")
     else:
         df = df.withColumn("ev", F.lit(None).cast(_EMPTY_EVIDENCE))
     if replies is not None:
-        df = A.join_model_output(df, replies, "Mfg_Part_Num")
+        df = A.parsed_reply(df)
     else:
         df = df.withColumn("model", F.lit(None).cast(_EMPTY_MODEL))
     df = A.evidence_specs(df, "desc_clean", "category", vocab)

@@ -181,3 +181,21 @@ def test_busy_key_by_brute_force(spark):
     counts = {r.id: r.n for r in L.trailing_count(df, "k", "ts", 60, "n").collect()}
     assert counts == {i: sum(1 for _, kk, t, _ in data if kk == k and ts - dt.timedelta(seconds=60) <= t <= ts) for i, k, ts, _ in data}
     assert L.trailing_count(df.limit(0), "k", "ts", 60, "n").count() == 0 == L.rolling_failures(df.limit(0), "k", "ts", "id", c("bad")).count()
+
+
+def test_evidence_and_replies_cost_one_exchange_of_the_feed(spark, sf):
+    from partloom.operators import attributes as A
+    from partloom.plans import feeds
+
+    evidence = spark.createDataFrame(
+        [("Bosch®", "a1", 2, "second"), ("", "A1", 1, "first"), ("BOSCH", "a1", 3, "third"), ("Other", "b2", 4, "other"), ("Bosch", "", 5, "none")],
+        "brand string, mpn string, o int, text string",
+    )
+    rows = spark.createDataFrame([(1, "A1", "bosch"), (2, "a1 ", None), (3, "A1", "Acme"), (4, "B2", "Bosch"), (5, "", "Bosch"), (6, None, "x"), (7, "c3", "x")], "id int, m string, b string")
+    got = {r["id"]: r["ev"]["text"] if r["ev"] else None for r in A.join_evidence(rows, evidence, "b", "m", "o").collect()}
+    assert got == {1: "second", 2: "first", 3: "first", 4: "other", 5: None, 6: None, 7: None}
+    feed = feeds.feed(spark, sf)
+    joined = A.join_lookups(feed, "Mfg_Part_Num", [A.evidence_lookup(evidence, "o"), A.reply_lookup(feeds.model_output(spark, sf))], 8)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    own = [line for line in plan.splitlines() if "Exchange" in line and "Broadcast" not in line and "_m#" in line]
+    assert len(own) == 1 and joined.count() == feed.count()
