@@ -30,6 +30,9 @@ def _state_session(spark: SparkSession) -> SparkSession:
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
     # many small stores: without this each of them reserves megabytes of disk for its logs
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
+    # and of memory: a write buffer takes an eighth of its size at once
+    own.conf.set("spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB", "8")
+    own.conf.set("spark.sql.streaming.stateStore.rocksdb.blockCacheSizeMB", "4")
     own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
     return own
 
