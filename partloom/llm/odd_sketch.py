@@ -183,10 +183,11 @@ def _compared(pairs: DataFrame, texts: DataFrame, settings: Plan) -> DataFrame:
 
 def _stars(groups: DataFrame) -> DataFrame:
     """(a, b): every node b of a group (key, node) with the group's middle a: the node that meets most others in all groups."""
-    sizes = groups.groupBy("key").agg(F.count("*").alias("n"))
+    # what is joined to a group is written first: with an aggregate on its other side, a join can't split a large group
+    sizes = written(groups.groupBy("key").agg(F.count("*").alias("n")), "sizes")
     shared = written(groups.join(sizes, "key"), "shared")
     met = shared.groupBy("node").agg(F.sum("n").alias("met"))
-    middle = shared.join(met, "node").groupBy("key").agg(F.max_by("node", F.struct("met", "node")).alias("a"))
+    middle = written(shared.join(met, "node").groupBy("key").agg(F.max_by("node", F.struct("met", "node")).alias("a")), "middles")
     return shared.select("key", F.col("node").alias("b")).join(middle, "key").where("a <> b").select("a", "b").distinct()
 
 
@@ -217,7 +218,7 @@ def _unlike(star: DataFrame, known: DataFrame, sketches: DataFrame, settings: Pl
     )
     nodes = star.select("a", "b", "similar", "d", F.greatest(shared, F.lit(1)).alias("least"), F.explode("apart").alias("key"))
     counts = nodes.groupBy("key").agg(F.count("*").alias("n"), F.bool_and("similar").alias("like")).where("n > 1 AND NOT like")
-    held = nodes.join(counts.select("key", "n"), "key")
+    held = nodes.join(written(counts.select("key", "n"), "counts"), "key")
     of_pair = Window.partitionBy("a", "b")
     held = held.withColumn("c", F.count("*").over(of_pair)).withColumn("i", F.row_number().over(of_pair.orderBy("n", "key")))
     held = held.where(F.col("i") <= F.col("c") - F.col("least") + 1).select("key", F.col("b").alias("node"), "similar", "d", "c")
@@ -253,7 +254,7 @@ def _rows(rows: DataFrame, settings: Plan) -> tuple[DataFrame, DataFrame]:
     first = F.min_by(F.struct("size", "keys", "sketch", "file", "row"), F.struct("file", "row"))
     nodes = written(sets.where("node IS NOT NULL").groupBy("node").agg(first.alias("s")).select("node", "s.*"), "nodes")
     groups = nodes.select("node", F.explode("keys").alias("key"))
-    shared = groups.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    shared = written(groups.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "bands")
     groups = written(groups.join(shared, "key"), "groups")
     where = nodes.join(groups.select("node").distinct(), "node", "left_semi").select("node", F.col("file").alias("f"), F.col("row").alias("r"))
     held = rows.select("text", "file", "row").join(where, (F.col("row") == F.col("r")) & (F.col("file") == F.col("f")))
