@@ -317,8 +317,10 @@ def _pad(slots: Column, size: int) -> Column:
 
 
 def align_slots(df: DataFrame, specs: str = "specs", item_type: str = "final.item_type") -> DataFrame:
-    """Add ``slots``: 50 (label, value, uom).  Slots 1..15 belong to fixed labels of the item kind and
-    stay in place when empty; other specs follow from slot 16 in their own order."""
+    """Add ``slots``: 50 (label, value, uom), and ``overflow``: what does not fit into them.
+
+    Slots 1..15 belong to fixed labels of the item kind and stay in place when empty; other specs follow from slot 16 in their own
+    order, and in ``overflow`` beyond slot 50."""
     df = df.withColumn(
         "_named",
         F.transform(
@@ -377,16 +379,12 @@ def align_slots(df: DataFrame, specs: str = "specs", item_type: str = "final.ite
         ),
         lambda s: _slot(s["k"], s["v"]),
     )
-    df = df.withColumn("_fixed", _pad(fixed, 15)).withColumn(
-        "_extra", F.slice(extra, 1, V.SLOT_COUNT - 15)
-    )
-    return df.withColumn(
-        "slots", F.concat(F.col("_fixed"), _pad(F.col("_extra"), V.SLOT_COUNT - 15))
-    ).drop("_named", "_reversed", "_lookup", "_kind", "_matched", "_fixed", "_extra")
+    df = df.withColumns({"_fixed": _pad(fixed, 15), "_extra": extra})
+    return _split_slots(df, F.col("_fixed"), F.col("_extra")).drop("_named", "_reversed", "_lookup", "_kind", "_matched", "_fixed", "_extra")
 
 
 def align_fact_slots(df: DataFrame, category: str, facts: str) -> DataFrame:
-    """Simpler slotting of an array of (label, value, uom): case-insensitive labels, no aliases."""
+    """Simpler slotting of an array of (label, value, uom): case-insensitive labels, no aliases; ``overflow`` as above."""
     text = F.upper(F.coalesce(F.col(category), F.lit("")))
     labels = lambda kind: literal_table(V.FACT_SLOT_LABELS[kind], "array<string>")
     df = df.withColumn(
@@ -418,18 +416,28 @@ def align_fact_slots(df: DataFrame, category: str, facts: str) -> DataFrame:
         ),
     )
     known = F.transform("_labels", lambda n: F.lower(n))
-    extra = F.slice(
-        F.transform(
-            F.filter(named, lambda f: ~F.array_contains(known, F.lower(f["label"]))),
-            lambda f: F.struct(
-                f["label"].alias("label"),
-                F.coalesce(f["value"], F.lit("")).alias("value"),
-                F.coalesce(f["uom"], F.lit("")).alias("uom"),
-            ),
+    extra = F.transform(
+        F.filter(named, lambda f: ~F.array_contains(known, F.lower(f["label"]))),
+        lambda f: F.struct(
+            f["label"].alias("label"),
+            F.coalesce(f["value"], F.lit("")).alias("value"),
+            F.coalesce(f["uom"], F.lit("")).alias("uom"),
         ),
-        1, V.SLOT_COUNT - 15,
     )
-    return df.withColumn("slots", F.concat(_pad(fixed, 15), _pad(extra, V.SLOT_COUNT - 15))).drop("_labels")
+    df = df.withColumns({"_fixed": _pad(fixed, 15), "_extra": extra})
+    return _split_slots(df, F.col("_fixed"), F.col("_extra")).drop("_labels", "_fixed", "_extra")
+
+
+def _split_slots(df: DataFrame, fixed: Column, extra: Column) -> DataFrame:
+    room = V.SLOT_COUNT - 15
+    rest = F.when(F.size(extra) > room, F.slice(extra, room + 1, F.greatest(F.size(extra) - room, F.lit(0)))).otherwise(F.slice(extra, 1, 0))
+    return df.withColumns({"slots": F.concat(fixed, _pad(F.slice(extra, 1, room), room)), "overflow": rest})
+
+
+def overflow_long(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per spec that the slots of a record have no room for, numbered on from the last slot."""
+    rows = df.select(*keys, F.posexplode("overflow").alias("_p", "_s"))
+    return rows.select(*keys, (F.col("_p") + V.SLOT_COUNT + 1).alias("slot"), "_s.label", "_s.value", "_s.uom")
 
 
 def slots_long(df: DataFrame, keys: list[str], slots: str = "slots") -> DataFrame:

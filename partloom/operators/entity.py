@@ -244,34 +244,23 @@ def alias_table(spark, vocab: Vocabulary = DEFAULT) -> DataFrame:
 def embedded_alias_join(df: DataFrame, row_key: str, text: str, aliases: DataFrame) -> DataFrame:
     """``brand_by_embedded_alias`` for alias tables of any size.
 
-    Word n-grams of the text, of every length that an alias has, meet the aliases in an equi-join; only row keys and
-    n-grams are shuffled.  The exact whole-word test then runs on the candidates, which are joined back to
-    the text and reduced to the first alias per row, so no group grows with the data.
+    An alias is entered under its anchor, the word of it that fewest aliases have; a text that holds the alias has that word.  So a
+    text sends its distinct words, one row each, whatever lengths aliases have, and meets only aliases that may be in it.
+    The exact whole-word test then runs on these candidates, which are joined back to the text and reduced to the
+    first alias per row, so no group grows with the data.  An alias without a letter or digit is in no text.
     """
-    grams_of = lambda c: F.split(F.trim(F.regexp_replace(F.lower(c), r"\W+", " ")), " ")
-    keyed = aliases.select(
-        "ord", "alias", "brand", F.array_join(grams_of(F.col("alias")), " ").alias("gram")
-    )
-    words = df.select(row_key, F.lower(strip(F.col(text))).alias("_text")).withColumn(
-        "_w", grams_of(F.col("_text"))
-    )
-    lengths = sorted(r[0] for r in keyed.select(F.size(F.split("gram", " "))).distinct().collect())
-    spans = F.flatten(
-        F.transform(
-            F.array(*[F.lit(n) for n in lengths or [1]]),
-            lambda n: F.transform(
-                F.sequence(F.lit(1), F.greatest(F.size("_w") - n + 1, F.lit(1))),
-                lambda i: F.array_join(F.slice("_w", i, n), " "),
-            ),
-        )
-    )
-    grams = words.select(F.col(row_key).alias("_row"), F.explode(F.array_distinct(spans)).alias("gram"))
+    words_of = lambda c: F.filter(F.array_distinct(F.split(F.regexp_replace(F.lower(c), r"\W+", " "), " ")), lambda w: w != "")
+    entered = aliases.select("ord", "alias", "brand", F.explode(words_of(F.col("alias"))).alias("word"))
+    common = entered.groupBy("word").agg(F.count("*").alias("n"))
+    anchored = entered.join(common, "word").groupBy("ord", "alias", "brand").agg(F.min_by("word", F.struct("n", "word")).alias("word"))
+    texts = df.select(row_key, F.lower(strip(F.col(text))).alias("_text"))
+    words = texts.select(F.col(row_key).alias("_row"), F.explode(words_of(F.col("_text"))).alias("word"))
     whole_word = F.concat(
         F.lit(r"\b"), F.regexp_replace("alias", r"([^\w\s])", r"\\$1"), F.lit(r"\b")
     )
-    candidates = grams.join(keyed, "gram").select("_row", "ord", "alias", "brand")
+    candidates = words.join(anchored, "word").select("_row", "ord", "alias", "brand")
     hits = (
-        words.select(row_key, "_text").join(candidates, F.col(row_key) == F.col("_row"))
+        texts.join(candidates, F.col(row_key) == F.col("_row"))
         .where(F.regexp_like(F.col("_text"), whole_word))
         .groupBy(row_key)
         .agg(F.min_by("brand", "ord").alias("embedded_brand"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -216,6 +216,20 @@ def run_artifacts(s, d):
     return s.read.parquet(f"{path}/batch").select("run_id", "batch_id", "total_items", "review_needed_count")
 
 
+@query
+def evaluation_artifacts(s, d):
+    """The tables of a whole evaluation run, and the rows of each as its manifest has them."""
+    tracked, compared = feeds.tracking(s, d), store.compared(s, d)
+    tables = {
+        "dataset_profile": G.input_profile(feeds.feed(s, d)), "schema_validation_results": store.schema_results(s, d),
+        "schema_metrics": M.schema_metrics(store.schema_results(s, d)), "source_metrics": M.sourcing_metrics(tracked),
+        "confidence_metrics": M.confidence_metrics(tracked), "golden_comparison": E.field_comparisons(compared),
+        "golden_metrics": E.record_accuracy(E.record_counts(compared)), "field_metrics": E.field_accuracy(E.field_comparisons(compared)),
+        "error_analysis": _errors(s, d),
+    }
+    return files.write_artifacts(tables, work_dir(s, "run"), "r1").select("run_id", "artifact", "rows")
+
+
 @query
 def persist_products(s, d):
     return R.persist_products(store.enriched(s, d))
@@ -572,7 +586,7 @@ def schema_row_issues(s, d):
 
 
 QUERIES["schema_row_summary"] = lambda s, d: store.schema_results(s, d)
-QUERIES["schema_report"] = lambda s, d: M.schema_metrics(store.schema_results(s, d))
+QUERIES["schema_report"] = lambda s, d: M.schema_report(store.delivery(s, d).drop(K), store.schema_results(s, d), V.DELIVERY_HEADERS)
 QUERIES["input_validation"] = lambda s, d: G.input_errors(feeds.feed(s, d))
 
 
@@ -786,6 +800,16 @@ def latest_benchmark(s, d):
     return failed.select("batch_id", "row_index", "mfg_part_num")
 
 
+@query
+def benchmark_runs(s, d):
+    """All runs, the newest first by number."""
+    runs = feeds.tracking(s, d).groupBy("batch_id").agg(
+        F.max("ts").alias("created_at"), F.count("*").alias("total_rows"), F.count_if(c("status") == "ERROR").alias("failed_rows"), F.round(F.avg("confidence"), 6).alias("avg_confidence")
+    )
+    newest = Window.orderBy(F.desc("created_at"), F.desc("batch_id"))  # one row for each run
+    return runs.select(F.row_number().over(newest).alias("position"), "batch_id", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"), "total_rows", "failed_rows", "avg_confidence")
+
+
 QUERIES["latest_run"] = lambda s, d: R.latest_run(
     feeds.tracking(s, d).select("client", "ts", "row_index", "source_mode", "confidence"), "client", "ts", "row_index"
 )
@@ -839,7 +863,7 @@ def key_sets(s, d):
     return label(a.intersect(b), "both").unionByName(label(a.subtract(b), "left")).unionByName(label(b.subtract(a), "right"))
 
 
-QUERIES["error_union"] = lambda s, d: E.error_taxonomy(None, feeds.tracking(s, d), None).groupBy("error_category", "actual").count().withColumnRenamed("count", "errors")
+QUERIES["error_union"] = lambda s, d: _errors(s, d).groupBy("error_category", "field", "actual").agg(F.count("*").alias("errors"))
 
 # ------------------------------------------------------------------ streams
 
@@ -848,7 +872,7 @@ QUERIES["error_union"] = lambda s, d: E.error_taxonomy(None, feeds.tracking(s, d
 FILES_A_PART = 4
 
 
-def _replayed(s, name, df, start, order=None):
+def _replayed(s, name, df, start, order=None, session=None):
     """Feed the table to a stream in four parts of several files, one part for each trigger.
 
     The stream is started on the first two, ends, and is started again from its checkpoint when the others have come.
@@ -865,7 +889,7 @@ def _replayed(s, name, df, start, order=None):
     for part in range(4):
         whole.where(c("_part") == part).drop("_part").repartition(FILES_A_PART).write.mode("append").parquet(path)
         if part in (1, 3):
-            q = start(jobs.read_stream(s, path, df.schema, FILES_A_PART))
+            q = start(jobs.read_stream(session or s, path, df.schema, FILES_A_PART))
             q.awaitTermination()
             if q.exception() is not None:
                 raise q.exception()
@@ -887,8 +911,7 @@ def progress_stream(s, d):
     return jobs.latest_progress(s, out, "batch_id")
 
 
-@query
-def telemetry_windows(s, d):
+def _windows(s, d, width, slide=None):
     out, mark = work_dir(s, "windows"), work_dir(s, "windows-mark")
     rows = feeds.tracking(s, d).select(
         c("ts").cast("timestamp").alias("ts"), "stage", "status", c("processing_time_ms").cast("decimal(12,2)").alias("ms")
@@ -899,23 +922,28 @@ def telemetry_windows(s, d):
     schema: list = []
 
     def start(stream):
-        windows = jobs.telemetry_windows(stream, "ts", "stage", "ms")
+        windows = jobs.telemetry_windows(stream, "ts", "stage", "ms", width, slide)
         schema[:] = [windows.schema]
         return jobs.windows_to(windows, out, mark)
 
     _replayed(s, "windows-in", rows.unionByName(marker), start, order="ts")
     done = s.read.schema(schema[0]).parquet(out).where("stage <> 'END'")
-    return done.select(
-        F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "stage", "records", c("total_ms").cast("double").alias("total_ms"),
-        c("max_ms").cast("double").alias("max_ms"), "failures",
-    )
+    return done.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
+
+
+def _window_totals(done):
+    return done.select("window_start", "stage", "records", c("total_ms").cast("double").alias("total_ms"), c("max_ms").cast("double").alias("max_ms"), "failures")
+
+
+QUERIES["telemetry_windows"] = lambda s, d: _window_totals(_windows(s, d, "1 hour"))
+QUERIES["telemetry_sliding"] = lambda s, d: _window_totals(_windows(s, d, "2 hours", "30 minutes"))
 
 
 @query
 def rate_admission(s, d):
     out, mark = work_dir(s, "admit"), work_dir(s, "admit-mark")
     rows = feeds.tracking(s, d).select(c("client").cast("bigint").alias("client"), c("row_index").alias("event_id"), "ts")
-    _replayed(s, "admit-in", rows, lambda stream: jobs.run_stateful(s, jobs.admit(stream, jobs.TightLimiter), out, mark), order="ts")
+    _replayed(s, "admit-in", rows, lambda stream: jobs.windows_to(jobs.admit(stream, jobs.TightLimiter), out, mark), order="ts", session=jobs.state_session(s))
     return s.read.parquet(out).drop("ts")
 
 
@@ -923,7 +951,7 @@ def rate_admission(s, d):
 def review_state_stream(s, d):
     out, mark = work_dir(s, "reviews"), work_dir(s, "reviews-mark")
     rows = feeds.review_actions(s, d)
-    _replayed(s, "reviews-in", rows, lambda stream: jobs.run_stateful(s, jobs.review_stream(stream), out, mark), order="ts")
+    _replayed(s, "reviews-in", rows, lambda stream: jobs.windows_to(jobs.review_stream(stream), out, mark), order="ts", session=jobs.state_session(s))
     return s.read.parquet(out).drop("ts")
 
 

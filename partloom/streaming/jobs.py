@@ -65,20 +65,25 @@ def latest_progress(spark: SparkSession, out: str, batch: str) -> DataFrame:
 
 def telemetry_windows(
     stream: DataFrame, ts: str, stage: str, value: str, width: str = "1 hour", slide: str | None = None,
-    lateness: str = "10 minutes",
+    lateness: str = "10 minutes", accuracy: int = 1000,
 ) -> DataFrame:
-    """Latency and failures per stage and time window; rows later than the watermark are left out."""
+    """Latency and failures per stage and time window, tumbling or, with ``slide``, sliding; rows later than the watermark
+    are left out.
+
+    ``p50_ms`` and ``p95_ms`` come from a mergeable quantile summary, which is the state of a window however many rows it has; the rank
+    of the value is off by at most 1 / ``accuracy`` of the window's rows.
+    """
     span = F.window(ts, width, slide) if slide else F.window(ts, width)
     return (
         stream.withWatermark(ts, lateness)
         .groupBy(span, stage)
         .agg(
             F.count("*").alias("records"), F.sum(value).alias("total_ms"), F.max(value).alias("max_ms"),
-            F.count_if(F.col("status") == "ERROR").alias("failures"),
+            F.count_if(F.col("status") == "ERROR").alias("failures"), F.percentile_approx(value, [0.5, 0.95], accuracy).alias("_p"),
         )
         .select(
             F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), stage,
-            "records", "total_ms", "max_ms", "failures",
+            "records", "total_ms", "max_ms", "failures", F.col("_p")[0].alias("p50_ms"), F.col("_p")[1].alias("p95_ms"),
         )
     )
 
@@ -190,14 +195,11 @@ def review_stream(actions: DataFrame) -> DataFrame:
     )
 
 
-def run_stateful(spark: SparkSession, df: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Start a stateful job on the RocksDB state store, which keeps large state off the heap."""
-    before = spark.conf.get(STATE_PROVIDER, None)
-    spark.conf.set(STATE_PROVIDER, ROCKSDB)
-    try:
-        return windows_to(df, out, checkpoint)
-    finally:
-        if before:
-            spark.conf.set(STATE_PROVIDER, before)
-        else:
-            spark.conf.unset(STATE_PROVIDER)
+def state_session(spark: SparkSession) -> SparkSession:
+    """A session of its own for stateful jobs on the RocksDB state store, which keeps large state off the heap; the caller's
+    settings stay as they are.  Streams for such a job are read in it."""
+    own = spark.newSession()
+    own.conf.set(STATE_PROVIDER, ROCKSDB)
+    for name in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        own.conf.set(name, spark.conf.get(name))
+    return own

@@ -58,3 +58,17 @@ def test_index_finds_what_all_pairs_find(spark):
         got = {r["text"]: (r["brand"], round(r["score"], 9)) for r in fuzzy.best_brands(frame, brands, cutoff).collect()}
         assert got == want and len(want) > 100
     assert fuzzy.best_brands(frame.limit(0), brands, 0.8).count() == 0 == fuzzy.best_brands(frame, brands.limit(0), 0.8).count()
+
+
+def test_anchors_are_the_rarest_words(spark):
+    import random
+    import re
+
+    draw = random.Random(4)
+    words = [f"w{i}" for i in range(12)]
+    aliases = [(i, " ".join(draw.choice(words) for _ in range(draw.randrange(1, 5))), f"B{i}") for i in range(60)] + [(60, "a&b", "AB"), (61, "***", "None")]
+    texts = [(i, draw.choice([" ", "-", ", "]).join(draw.choice(words) for _ in range(draw.randrange(0, 9)))) for i in range(150)] + [(150, "x A&B."), (151, None)]
+    frame = spark.createDataFrame(aliases, "ord int, alias string, brand string")
+    got = {r["id"]: r["embedded_brand"] for r in embedded_alias_join(spark.createDataFrame(texts, "id int, t string"), "id", "t", frame).collect()}
+    want = {i: next((b for _, a, b in aliases[:-1] if re.search(rf"\b{re.escape(a)}\b", (t or "").lower())), None) for i, t in texts}
+    assert got == want and len(set(want.values())) > 20

@@ -199,3 +199,46 @@ def test_evidence_and_replies_cost_one_exchange_of_the_feed(spark, sf):
     plan = joined._jdf.queryExecution().executedPlan().toString()
     own = [line for line in plan.splitlines() if "Exchange" in line and "Broadcast" not in line and "_m#" in line]
     assert len(own) == 1 and joined.count() == feed.count()
+
+
+def test_specs_beyond_the_slots_are_kept(spark):
+    from partloom import vocab as V
+    from partloom.operators import delivery as D
+
+    facts = [(f"Spec {i}", f"{i}", "in") for i in range(60)]
+    rows = spark.createDataFrame([(1, "DISHWASHER", facts), (2, "TOOL", facts[:5]), (3, None, [])], "id int, cat string, facts array<struct<label:string,value:string,uom:string>>")
+    out = D.align_fact_slots(rows, "cat", "facts")
+    got = {r["id"]: r for r in out.collect()}
+    assert all(len(r["slots"]) == V.SLOT_COUNT for r in got.values()) and [len(got[i]["overflow"]) for i in (1, 2, 3)] == [25, 0, 0]
+    assert {s["label"] for s in got[1]["slots"] + got[1]["overflow"]} >= {f"Spec {i}" for i in range(60)}
+    long = D.overflow_long(out, ["id"]).orderBy("slot").collect()
+    assert [(r["id"], r["slot"], r["label"]) for r in long] == [(1, 51 + i, f"Spec {35 + i}") for i in range(25)]
+    specs = spark.createDataFrame([(1, "Elbow", [(f"Spec {i}", f"{i} in") for i in range(60)])], "id int, kind string, specs array<struct<k:string,v:string>>")
+    aligned = D.align_slots(specs.select("id", "specs", F.struct(c("kind").alias("item_type")).alias("final"))).first()
+    assert len(aligned["slots"]) == V.SLOT_COUNT and len(aligned["overflow"]) == 25
+
+
+def test_manifest_counts_what_is_written(spark, tmp_path):
+    from partloom.sources import files
+
+    tables = {"one": spark.range(7), "none": spark.range(0)}
+    for run in ("r1", "r2", "r1"):
+        manifest = files.write_artifacts(tables, str(tmp_path), run)
+    assert sorted((r["run_id"], r["artifact"], r["rows"]) for r in manifest.collect()) == [("r1", "none", 0), ("r1", "one", 7), ("r2", "none", 0), ("r2", "one", 7)]
+    assert spark.read.parquet(f"{tmp_path}/one").count() == 14
+
+
+def test_window_quantiles_by_rank(spark, sf):
+    from partloom.plans import feeds
+    from partloom.queries import _windows
+
+    done = _windows(spark, sf, "2 hours", "30 minutes").collect()
+    rows = [(r["ts"], r["stage"], round(float(r["processing_time_ms"]), 2)) for r in feeds.tracking(spark, sf).select(c("ts").cast("timestamp").alias("ts"), "stage", "processing_time_ms").collect()]
+    assert len(done) > 100
+    for r in done[:200]:
+        start = dt.datetime.fromisoformat(r["window_start"])
+        own = sorted(ms for ts, stage, ms in rows if stage == r["stage"] and start <= ts < start + dt.timedelta(hours=2))
+        assert len(own) == r["records"]
+        for q, got in ((0.5, float(r["p50_ms"])), (0.95, float(r["p95_ms"]))):
+            off = max(1, len(own) / 1000)
+            assert sum(x < got for x in own) - off <= q * len(own) <= sum(x <= got for x in own) + off
