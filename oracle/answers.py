@@ -782,10 +782,7 @@ answer("error_union", "SELECT error_category, field, actual, count(*) AS errors
 
 # ------------------------------------------------------------------ streams and whole runs
 
-from oracle.base import CTES
-
-_no_sources = {n: f"SELECT * FROM ({CTES[n]}) WHERE false" for n in ("evidence", "model_output")}
-ANSWERS["enrich_stream"] = query("SELECT _ordinal, brand, category, confidence, invoice_desc, needs_review FROM enriched", _no_sources)
+answer("enrich_stream", "SELECT _ordinal, brand, category, source_mode, confidence, invoice_desc, needs_review FROM enriched")
 answer(
     "telemetry_windows",
     "SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, stage, count(*) AS records, sum(processing_time_ms::DECIMAL(12, 2))::DOUBLE AS total_ms, max(processing_time_ms::DECIMAL(12, 2))::DOUBLE AS max_ms, count_if(status = 'ERROR')::BIGINT AS failures "

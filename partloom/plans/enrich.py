@@ -60,7 +60,7 @@ def extract(
     """Resolved feed with ``attrs``, ``raw_specs``, ``spec_sections``, ``ev`` and ``source_mode``.
 
     Evidence and replies are looked up by part number in one join at the start, while rows are narrow; the brand decides later
-    which page of the part is taken.  ``spread`` is the caller's, for a feed in one small file: the number of tasks
+    which page of the part is taken.  A feed that was joined with its lookups before, as streams are, is taken as it is.  ``spread`` is the caller's, for a feed in one small file: the number of tasks
     it is dealt to.
     """
     lookups = [A.evidence_lookup(A.prepare_evidence(evidence), "_evidence_ordinal")] if evidence is not None else []
@@ -70,11 +70,11 @@ def extract(
     elif spread:
         feed = feed.repartition(spread)
     df = resolve(feed, vocab, masters)
-    if evidence is not None:
+    if "_part" in feed.columns:
         df = df.withColumn("ev", A.chosen_evidence(F.col("brand"))).drop("_part", "_brands")
     else:
         df = df.withColumn("ev", F.lit(None).cast(_EMPTY_EVIDENCE))
-    if replies is not None:
+    if "_content" in feed.columns:
         df = A.parsed_reply(df)
     else:
         df = df.withColumn("model", F.lit(None).cast(_EMPTY_MODEL))

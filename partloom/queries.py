@@ -897,10 +897,31 @@ def _replayed(s, name, df, start, order=None, session=None):
 
 @query
 def enrich_stream(s, d):
+    """The enrichment as a stream: feed, and evidence with replies, come in four parts each, so a lookup is often later than its
+    rows.  The stream is started on the first two, ends, and is started again from its checkpoint when the others have come."""
     out, mark = work_dir(s, "stream-out"), work_dir(s, "stream-mark")
-    keep = [K, "brand", "category", "confidence", "invoice_desc", "needs_review"]
-    _replayed(s, "stream-feed", feeds.feed(s, d), lambda stream: jobs.enrich_stream(stream, lambda df: P.scored(df).select(*keep), out, mark))
-    return s.read.parquet(out)
+    keep = [K, "brand", "category", "source_mode", "confidence", "invoice_desc", "needs_review"]
+    lookups = A.evidence_lookup(A.prepare_evidence(feeds.evidence(s, d)), "_evidence_ordinal").join(A.reply_lookup(feeds.model_output(s, d)), "_key", "full_outer")
+    rows = feeds.feed(s, d).withColumn("ts", F.timestamp_seconds(c(K) + 1))  # after the first watermark, which is 0
+    late = lookups.withColumn("_ts", F.timestamp_seconds(F.crc32(c("_key").cast("binary")) % 3600 + 1))
+    far = F.timestamp_seconds(F.lit(10**9))  # rows far ahead bring out those that still wait
+    rows = rows.unionByName(s.range(1).select(F.lit(-1).cast("bigint").alias(K), far.alias("ts")), allowMissingColumns=True)
+    late = late.unionByName(s.range(1).select(F.lit("no part").alias("_key"), far.alias("_ts")), allowMissingColumns=True)
+    paths = {}
+    for name, df, key in (("feed", rows, K), ("lookup", late, "_key")):
+        part = F.when(c("ts" if name == "feed" else "_ts") == far, 3).otherwise(F.pmod(F.xxhash64(c(key)), F.lit(4))).cast("int")
+        paths[name] = (work_dir(s, f"stream-{name}"), materialize(df.withColumn("_arrives", part), f"staged-{name}"))
+    for part in range(4):
+        for path, df in paths.values():
+            df.where(c("_arrives") == part).drop("_arrives").repartition(FILES_A_PART).write.mode("append").parquet(path)
+        if part in (1, 3):
+            feed, more = (jobs.read_stream(s, path, df.drop("_arrives").schema, FILES_A_PART) for path, df in paths.values())
+            joined = jobs.lookup_join_stream(feed, more, F.upper(TX.strip(c("Mfg_Part_Num"))), "ts", "30 days").drop("ts")
+            q = jobs.enrich_stream(joined, lambda df: P.scored(df).select(*keep), out, mark)
+            q.awaitTermination()
+            if q.exception() is not None:
+                raise q.exception()
+    return s.read.parquet(out).where(c(K) >= 0)
 
 
 @query

@@ -10,7 +10,7 @@ from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -41,6 +41,19 @@ def enrich_stream(
     return _run(writer, checkpoint)
 
 
+def lookup_join_stream(feed: DataFrame, lookups: DataFrame, key: Column, ts: str, within: str) -> DataFrame:
+    """``feed`` with the columns of ``lookups`` (``_key``, ``_ts`` and others) of the same key and at most ``within`` apart in time.
+
+    Both are streams.  Whichever side comes first waits for the other in the state store; a row whose lookup has not come when the
+    watermark passes goes on without it, and is then dropped from the state.
+    """
+    left = feed.withColumn("_m", key).withWatermark(ts, within)
+    right = lookups.withWatermark("_ts", within)
+    span = F.expr(f"INTERVAL {within}")
+    near = (F.col("_ts") >= F.col(ts) - span) & (F.col("_ts") <= F.col(ts) + span)
+    return left.join(right, (F.col("_m") == F.col("_key")) & near, "leftOuter").drop("_m", "_key", "_ts")
+
+
 def progress_stream(stream: DataFrame, batch: str, out: str, checkpoint: str) -> StreamingQuery:
     """Live counters per batch; each micro-batch replaces the rows it changed under its own id."""
     counts = stream.groupBy(batch).agg(
