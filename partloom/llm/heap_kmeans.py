@@ -33,13 +33,10 @@ def quantized(vector: str, scale: int) -> Column:
 
 
 def squared(points: np.ndarray, centers: np.ndarray) -> np.ndarray:
-    """Exact squared distances of every point to every center; an error if one does not fit 64 bits."""
+    """Exact squared distances of every point to every center, as Python integers if they might not fit 64 bits."""
     if max(abs(points).max(initial=0), abs(centers).max(initial=0)) < _SAFE:
         return np.stack([((points - c) ** 2).sum(axis=1) for c in centers], axis=1)
-    wide = np.array([[sum((int(x) - int(y)) ** 2 for x, y in zip(p, c)) for c in centers] for p in points], object).reshape(len(points), len(centers))
-    if len(wide) and wide.max() > _LARGEST:
-        raise OverflowError("a squared distance does not fit 64 bits")
-    return wide.astype(np.int64)
+    return np.array([[sum((int(x) - int(y)) ** 2 for x, y in zip(p, c)) for c in centers] for p in points], object).reshape(len(points), len(centers))
 
 
 def drifts(before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,7 +100,10 @@ def _measured(centers: np.ndarray, dim: int) -> Callable:
             points, cluster, _ = _block(batch, dim)
             apart = np.zeros(len(points), np.int64)
             for c in np.unique(cluster):
-                apart[cluster == c] = squared(points[cluster == c], centers[c : c + 1])[:, 0]
+                own = squared(points[cluster == c], centers[c : c + 1])[:, 0]
+                if own.max() > _LARGEST:
+                    raise OverflowError("a squared distance does not fit 64 bits")
+                apart[cluster == c] = own
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cluster, pa.int32()), pa.array(apart, pa.int64())], ["vec_id", "cluster", "distance"])
 
     return measure

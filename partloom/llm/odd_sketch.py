@@ -270,7 +270,8 @@ def near_duplicates(
     Documents are linked when the Jaccard similarity of their sets of ``width``-word shingles (a text as bytes, A-Z in lower
     case, words between ASCII blanks) is ``similarity`` or more; a component is named by its least identifier, and ``kept``
     marks the one row that bears it.  MinHash samples are folded into odd sketches and cut into bands.  Documents that
-    share a band are candidates; sizes and sketches refuse most, whole sets decide.  A linked pair is missed with a probability of
+    share a band are candidates: first each with the middle of its bands, then the other pairs that their differences from
+    it, their sizes and their sketches allow; whole sets decide.  A linked pair is missed with a probability of
     2e-9 at most; sets are told apart by 64-bit hashes of their shingles.
 
     Null and empty texts, and texts of blanks only, have the empty set and are linked with nothing, or with each other if
