@@ -226,6 +226,31 @@ answer(
 )
 answer("persist_audit", "SELECT _ordinal, 'ENRICHMENT_COMPLETED' AS event_type, 'PRODUCT' AS entity_type, Mfg_Part_Num AS entity_id, confidence, source_mode, needs_review FROM enriched")
 
+answer(
+    "persist_related",
+    "SELECT e.Mfg_Part_Num AS mfg_part_num, CASE WHEN e.needs_review THEN 'review_required' ELSE 'completed' END AS status, e.confidence AS confidence_score, "
+    "CASE p.field WHEN 'item_type' THEN 'Item Type' ELSE upper(p.field[1]) || p.field[2:] END AS attribute_label, p.value AS attribute_value, 0 AS rewritten, 0::BIGINT AS unresolved "
+    "FROM prov p JOIN enriched e ON e._ordinal = p._ordinal WHERE p.value <> '' AND e._ordinal IN (SELECT max(_ordinal) FROM enriched GROUP BY Mfg_Part_Num, Part_Desc, Part_Manuf)",
+)
+_lines = "SELECT _ordinal AS k, _ordinal // 5000 AS file_no, concat_ws('|', " + ", ".join(V.FEED_COLUMNS) + ") AS v FROM feed"
+_leaves = (
+    "SELECT file_no, start // 4096 AS leaf, sha256(string_agg(start || ':' || sha256(v), ',' ORDER BY start)) AS digest FROM "
+    "(SELECT *, coalesce(sum(strlen(v) + 1) OVER (PARTITION BY file_no ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM {}) GROUP BY ALL"
+)
+answer(
+    "file_fingerprint",
+    f"WITH lines AS ({_lines}), changed AS (SELECT k, file_no, CASE WHEN k % 5000 = 2500 THEN reverse(v) ELSE v END AS v FROM lines), "
+    f"l0 AS ({_leaves.format('lines')}), c0 AS ({_leaves.format('changed')}), "
+    "whole AS (SELECT file_no, sum(strlen(v) + 1)::BIGINT AS bytes, sha256(string_agg(v || chr(10), '' ORDER BY k)) AS sha256 FROM lines GROUP BY ALL), "
+    "l1 AS (SELECT file_no, leaf // 16 AS node, sha256(string_agg(leaf || ':' || digest, ',' ORDER BY leaf)) AS digest FROM l0 GROUP BY ALL), "
+    "l2 AS (SELECT file_no, node // 16 AS node, sha256(string_agg(node || ':' || digest, ',' ORDER BY node)) AS digest FROM l1 GROUP BY ALL), "
+    "l3 AS (SELECT file_no, node // 16 AS node, sha256(string_agg(node || ':' || digest, ',' ORDER BY node)) AS digest FROM l2 GROUP BY ALL), "
+    "differ AS (SELECT file_no, count(*) AS changed_ranges, min(leaf) * 4096 AS first_changed FROM (SELECT file_no, leaf FROM l0 FULL JOIN c0 USING (file_no, leaf) WHERE l0.digest IS DISTINCT FROM c0.digest) GROUP BY ALL) "
+    "SELECT file_no, bytes, (SELECT count(*) FROM l0 WHERE l0.file_no = w.file_no) AS leaves, sha256(bytes || ':' || CASE WHEN bytes <= 4096 THEN (SELECT digest FROM l0 WHERE l0.file_no = w.file_no LIMIT 1) "
+    "WHEN bytes <= 65536 THEN (SELECT digest FROM l1 WHERE l1.file_no = w.file_no LIMIT 1) WHEN bytes <= 1048576 THEN (SELECT digest FROM l2 WHERE l2.file_no = w.file_no LIMIT 1) "
+    "ELSE (SELECT digest FROM l3 WHERE l3.file_no = w.file_no LIMIT 1) END) AS root, sha256, coalesce(changed_ranges, 0) AS changed_ranges, first_changed FROM whole w LEFT JOIN differ USING (file_no)",
+)
+
 # ------------------------------------------------------------------ cleaning and scalars
 
 on_feed("clean_placeholders", description=clean(PD), manufacturer=clean("Part_Manuf"), e1_brand=clean("E1_Brand"))

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from partloom.functions.text import text_or
-from partloom.operators.common import first_by, last_by, same_key
+from partloom.operators.common import first_by, last_by, materialize, same_key
 from partloom.functions.scoring import valid_lov
+from partloom.sources.tables import merge, row_id
 from partloom.vocab import DEFAULT, Vocabulary
 
 STATUS_OF = {"APPROVE": "APPROVED", "REJECT": "REJECTED", "EDIT": "EDITED"}
@@ -199,3 +200,41 @@ def persist_audit(enriched: DataFrame) -> DataFrame:
     )
 
 
+
+
+def related_tables(enriched: DataFrame, batch: Column) -> dict[str, DataFrame]:
+    """Products, runs, attributes, review items and audit events of a batch, with identifiers and references.
+
+    A product is known by its part number, description and raw manufacturer as they were sent; a run by its product and batch; an
+    attribute by its run and label; a review item and an audit event by their run.  Rows that repeat a product in a batch are one
+    product with one run; ``_ordinal`` says which row came last.
+    """
+    product = row_id(F.col("Mfg_Part_Num"), F.col("Part_Desc"), F.col("Part_Manuf"))
+    latest = enriched.groupBy(product.alias("product_id")).agg(F.max("_ordinal").alias("_ordinal"))
+    latest = materialize(latest.withColumn("run_id", row_id(F.col("product_id"), batch)), "related-ids")
+    ids = lambda rows: rows.join(latest, "_ordinal")
+    attributes = ids(persist_attributes(provenance_rows(enriched))).drop("product_id")
+    return {
+        "products": ids(persist_products(enriched)).drop("run_id"),
+        "runs": ids(persist_runs(enriched)),
+        "attributes": attributes.withColumn("attribute_id", row_id(F.col("run_id"), F.col("attribute_label"))),
+        "review_queue": ids(persist_review_queue(enriched)).withColumn("review_id", row_id(F.col("run_id"), F.col("field_name"))),
+        "audit_events": ids(persist_audit(enriched)).withColumn("event_id", row_id(F.col("run_id"), F.col("event_type"))),
+    }
+
+
+#: The key of each related table, and the tables its references lead to.
+RELATED = {
+    "products": ("product_id", {}),
+    "runs": ("run_id", {"product_id": "products"}),
+    "attributes": ("attribute_id", {"run_id": "runs"}),
+    "review_queue": ("review_id", {"product_id": "products", "run_id": "runs"}),
+    "audit_events": ("event_id", {"product_id": "products", "run_id": "runs"}),
+}
+
+
+def persist_related(enriched: DataFrame, path: str, batch: Column) -> dict[str, list[int]]:
+    """Merge one batch into the related tables below ``path``; the buckets of each table that were written."""
+    spark = enriched.sparkSession
+    tables = related_tables(enriched, batch)
+    return {name: merge(spark, f"{path}/{name}", tables[name], key, [F.col("_ordinal")]) for name, (key, _) in RELATED.items()}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,7 +30,7 @@ from partloom.operators import validate as Q
 from partloom.operators.common import first_by, flag_repeats, materialize, work_dir
 from partloom.plans import enrich as P
 from partloom.plans import feeds, store
-from partloom.sources import files
+from partloom.sources import files, hashtree, tables
 from partloom.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -138,6 +139,29 @@ def dataset_fingerprint(s, d):
     return G.fingerprint(feeds.feed(s, d), V.FEED_COLUMNS)
 
 
+FILE_ROWS, FILE_LEAF, FILE_FAN_OUT = 5000, 4096, 16
+
+
+@query
+def file_fingerprint(s, d):
+    """Feed files of ``FILE_ROWS`` lines each: their plain sums, the roots of their trees, and the ranges in which a changed version differs."""
+    lines = feeds.feed(s, d).select(F.floor(c(K) / FILE_ROWS).alias("file_no"), K, F.concat_ws("|", *V.FEED_COLUMNS).alias("value"))
+    changed = lines.withColumn("value", F.when(c(K) % FILE_ROWS == FILE_ROWS // 2, F.reverse("value")).otherwise(c("value")))
+    number = F.regexp_extract("file", r"file_no=(\d+)", 1).cast("bigint").alias("file_no")
+    leaves, paths = [], []
+    for shaped in (lines, changed):
+        path = work_dir(s, "feed-files")
+        shaped.repartition("file_no").sortWithinPartitions("file_no", K).select("value", "file_no").write.partitionBy("file_no").text(path)
+        paths.append(path)
+        leaves.append(hashtree.file_leaves(s, path, FILE_LEAF).withColumn("file", number.cast("string")))
+    trees = hashtree.file_trees(s, paths[0], FILE_LEAF, FILE_FAN_OUT).withColumn("file_no", number).drop("file")
+    sums = hashtree.file_sums(s, paths[0]).select(number, "sha256")
+    starts = hashtree.changed_ranges(*leaves, FILE_LEAF).groupBy(c("file").cast("bigint").alias("file_no")).agg(F.count("*").alias("changed_ranges"), F.min("start").alias("first_changed"))
+    return trees.join(sums, "file_no").join(starts, "file_no", "left").select(
+        "file_no", "bytes", "leaves", "root", "sha256", F.coalesce("changed_ranges", F.lit(0)).alias("changed_ranges"), "first_changed"
+    )
+
+
 def _brand_overrides(s, d):
     """Brand rows a distributor file adds: every brand of the parts table, and one known alias."""
     parts = feeds.table(s, d, "part")
@@ -220,14 +244,14 @@ def run_artifacts(s, d):
 def evaluation_artifacts(s, d):
     """The tables of a whole evaluation run, and the rows of each as its manifest has them."""
     tracked, compared = feeds.tracking(s, d), store.compared(s, d)
-    tables = {
+    results = {
         "dataset_profile": G.input_profile(feeds.feed(s, d)), "schema_validation_results": store.schema_results(s, d),
         "schema_metrics": M.schema_metrics(store.schema_results(s, d)), "source_metrics": M.sourcing_metrics(tracked),
         "confidence_metrics": M.confidence_metrics(tracked), "golden_comparison": E.field_comparisons(compared),
         "golden_metrics": E.record_accuracy(E.record_counts(compared)), "field_metrics": E.field_accuracy(E.field_comparisons(compared)),
         "error_analysis": _errors(s, d),
     }
-    return files.write_artifacts(tables, work_dir(s, "run"), "r1").select("run_id", "artifact", "rows")
+    return files.write_artifacts(results, work_dir(s, "run"), "r1").select("run_id", "artifact", "rows")
 
 
 @query
@@ -255,6 +279,25 @@ def persist_audit(s, d):
     return R.persist_audit(store.enriched(s, d))
 
 
+@query
+def persist_related(s, d):
+    """A batch merged with old figures, then with its own, then once more: attributes by way of their runs and products."""
+    path, rows, batch = work_dir(s, "related"), store.enriched(s, d), F.lit("b1")
+    R.persist_related(rows.withColumn("confidence", F.lit(0.0)), path, batch)
+    R.persist_related(rows, path, batch)
+    again = R.persist_related(rows, path, batch)
+    kept = {name: tables.read(s, f"{path}/{name}") for name in R.RELATED}
+    lost = [
+        tables.unresolved(kept[name], reference, kept[parent], R.RELATED[parent][0]).agg(F.count("*").alias("n"))
+        for name, (_, references) in R.RELATED.items() for reference, parent in references.items()
+    ]
+    unresolved = reduce(DataFrame.unionAll, lost).agg(F.sum("n").alias("unresolved"))
+    joined = kept["attributes"].join(kept["runs"].select("run_id", "product_id", "confidence_score"), "run_id").join(kept["products"].drop("_ordinal"), "product_id")
+    return joined.select(
+        "mfg_part_num", "status", "confidence_score", "attribute_label", "attribute_value", F.lit(sum(map(len, again.values()))).alias("rewritten")
+    ).withColumn("unresolved", F.lit(unresolved.first()[0]))
+
+
 # ------------------------------------------------------------------ cleaning and scalars
 
 on_feed(
