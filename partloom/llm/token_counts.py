@@ -19,6 +19,10 @@ from partloom.llm.pretokens import piece_starts, symbol_table
 MOST_STATES = 400_000
 MOST_PIECES = 1_000_000
 BATCH_CHARS = 2_000_000
+#: Longer pieces are read in chunks of so many bytes, each after a run-up that guesses the state it is entered in.
+PIECE_CHUNK, RUN_UP = 1024, 48
+#: The state before the first byte of a piece.
+START: tuple[bytes, tuple] = (b"", ((0, None, 0),))
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -53,7 +57,7 @@ class Transducer:
         self.histories: list[tuple[bytes, tuple]] = []
         self.numbers: dict[tuple[bytes, tuple], int] = {}
         self.moves: dict[int, tuple[int, int]] = {}
-        self._state(b"", ((0, None, 0),))
+        self._state(*START)
 
     def _state(self, suffix: bytes, history: tuple) -> int:
         key = (suffix, history)
@@ -111,18 +115,54 @@ class Transducer:
         history = ((0, last, 0), *((n, behind[n - 1][0], behind[n - 1][1] - change) for n in kept))
         return self._state(read[-kept[-1] :] if kept else b"", history), change
 
-    def count(self, piece: bytes) -> int:
-        """The number of tokens of a piece."""
-        if len(self.histories) > MOST_STATES:
-            self.forget()
-        state = total = 0
-        for byte in piece:
+    def walk(self, start: tuple[bytes, tuple], data: bytes) -> tuple[tuple[bytes, tuple], int]:
+        """The state reached from ``start`` and the change of the number of tokens."""
+        state, total = self._state(*start), 0
+        for byte in data:
             move = self.moves.get(state << 8 | byte)
             if move is None:
+                if max(len(self.histories), len(self.moves)) >= MOST_STATES:
+                    here = self.histories[state]
+                    self.forget()
+                    state = self._state(*here)
                 move = self.moves[state << 8 | byte] = self._compile(state, byte)
             state, change = move
             total += change
-        return total
+        return self.histories[state], total
+
+    def chunk_maps(self, piece: bytes) -> list[dict]:
+        """For each chunk of a long piece: state it is entered in -> (state it is left in, change of the number of tokens).
+
+        A chunk is read from the state that a short run-up before it leads to; such states seldom depend on what is further away.  Where
+        a chunk is left in a state that its successor was not read from, the successor is read from that state as well,
+        so the maps hold every state that a composition asks for, and the guesses change the work, never the result.
+        """
+        chunks = [piece[at : at + PIECE_CHUNK] for at in range(0, len(piece), PIECE_CHUNK)]
+        entries = [START] + [self.walk(START, piece[max(at - RUN_UP, 0) : at])[0] for at in range(PIECE_CHUNK, len(piece), PIECE_CHUNK)]
+        maps: list[dict] = [{} for _ in chunks]
+        todo = list(enumerate(entries))
+        while todo:
+            i, entry = todo.pop()
+            if i < len(chunks) and entry not in maps[i]:
+                maps[i][entry] = self.walk(entry, chunks[i])
+                todo.append((i + 1, maps[i][entry][0]))
+        return maps
+
+    def count(self, piece: bytes) -> int:
+        """The number of tokens of a piece; of a long one by composing the maps of its chunks, neighbours first."""
+        if len(piece) <= PIECE_CHUNK:
+            return self.walk(START, piece)[1]
+        maps = self.chunk_maps(piece)
+        while len(maps) > 1:
+            maps = [composed(*maps[i : i + 2]) for i in range(0, len(maps), 2)]
+        return maps[0][START][1]
+
+
+def composed(first: dict, then: dict | None = None) -> dict:
+    """One chunk map after the other."""
+    if then is None:
+        return first
+    return {entry: (then[middle][0], n + then[middle][1]) for entry, (middle, n) in first.items()}
 
 
 class Counter(dict):
@@ -207,7 +247,9 @@ def count_tokens(
     ``tokenizer`` is the path of a byte-level BPE file in the form of the tokenizers library.  The splitting rule and
     the merges are compiled to deterministic transducers.  Texts are cut into chunks that are read side
     by side for every state they may begin in; a parallel prefix scan composes these state maps, which
-    gives the true states.  Pieces go through the second transducer, whose transitions carry token counts.
+    gives the true states.  Pieces go through the second transducer, whose transitions carry token counts; those of more than
+    ``PIECE_CHUNK`` bytes in chunks as well, whose maps of states to states and counts are composed pair by pair.
+    What is compiled is bounded within a piece too.
 
     Null and empty texts have no bytes and no tokens.  Strings of added tokens inside a text count as one token, which
     is the library's default.  Identifiers may be null or repeated; every row gives one row.  An empty

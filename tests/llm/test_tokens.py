@@ -71,6 +71,29 @@ def test_forgetting_changes_nothing(monkeypatch):
     assert machine.counts([text, text]).tolist() == [len(ids_of(text))] * 2
 
 
+@pytest.mark.parametrize("chunk, run_up", [(7, 0), (16, 3), (64, 48), (1024, 48)])
+def test_long_pieces_by_composed_maps(monkeypatch, chunk, run_up):
+    monkeypatch.setattr(token_counts, "PIECE_CHUNK", chunk)
+    monkeypatch.setattr(token_counts, "RUN_UP", run_up)
+    random.seed(chunk)
+    machine = token_counts.Counter(TOKENIZER)
+    letters = "".join(random.choices("etaoinshrdlu", k=4000))
+    for text in [letters, "a" * 4001, "ab" * 1500, "=" * 3333, " " * 2049, "1234567" * 300, "é漢" * 700, "antidisestablishmentarianism" * 90]:
+        assert machine.counts([text]).tolist() == [len(ids_of(text))]
+    maps = machine.transducer.chunk_maps(letters.encode())
+    assert len(maps) == -(-4000 // chunk) and token_counts.START in maps[0]
+    assert all(end in after for here, after in zip(maps, maps[1:]) for end, _ in here.values())
+
+
+def test_a_long_piece_is_compiled_in_bounded_memory(monkeypatch):
+    monkeypatch.setattr(token_counts, "MOST_STATES", 500)
+    random.seed(3)
+    machine = token_counts.Counter(TOKENIZER)
+    text = "".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=20_000))
+    assert machine.counts([text]).tolist() == [len(ids_of(text))]
+    assert len(machine.transducer.histories) <= 501 and len(machine.transducer.moves) <= 500
+
+
 def test_every_code_point_is_split_as_by_the_library():
     points = [chr(i) for i in [*range(0xD800), *range(0xE000, 0x30000)]]
     texts = ["a" + "a".join(points[i : i + 500]) + "1" + "1".join(points[i : i + 500]) for i in range(0, len(points), 500)]
