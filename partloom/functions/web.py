@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from partloom.functions.text import let, lookup, squish, strip
+from partloom.functions.text import let, lookup, rewrite, squish, strip
 from partloom.vocab import DEFAULT, Vocabulary
 
 # FIXED VALUES: elements without technical content, host and address rules.
@@ -25,7 +25,7 @@ _ACCENTED = {
     "circ": [226, 234, 238, 244, 251, 194, 202, 206, 212, 219],
     "uml": [228, 235, 239, 246, 252, 196, 203, 207, 214, 220],
 }
-#: Named character references of catalog pages; ``&amp;`` comes last, so that nothing is decoded twice.
+#: Named character references of catalog pages.
 ENTITIES = {
     "&nbsp;": "\u00a0", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&reg;": "®", "&trade;": "™", "&copy;": "©",
     "&deg;": "°", "&plusmn;": "±", "&micro;": "µ", "&Omega;": "Ω", "&frac12;": "½", "&frac14;": "¼", "&frac34;": "¾",
@@ -39,39 +39,68 @@ ENTITIES = {
     **{f"&{letter}{mark};": chr(code) for mark, codes in _ACCENTED.items() for letter, code in zip("aeiouAEIOU", codes)},
     "&amp;": "&",
 }
-NUMERIC_ENTITY = r"&#[xX][0-9a-fA-F]+;|&#[0-9]+;"
 # FIXED VALUES: active content that an uploaded catalog must not carry.
 UPLOAD_EXTENSIONS = [".csv", ".xlsx"]
 DANGEROUS_CONTENT = ["<script", "javascript:", "vbscript:", "=cmd|", "=exec|", "+cmd|", "-cmd|"]
 
 
-def _numeric_decoded(text: Column) -> Column:
-    """Numeric character references by rule; those that name no character become U+FFFD."""
+ENTITY = r"&(?:#[xX][0-9a-fA-F]+|#[0-9]+|[A-Za-z]+[0-9]*);"
+_RAW = [e for e in DROPPED_ELEMENTS if e in ("script", "style", "iframe")]
+_NESTING = [e for e in DROPPED_ELEMENTS if e not in (*_RAW, "embed")]
+
+
+def _numeric(e: Column) -> Column:
+    """A numeric character reference by rule; one that names no character becomes U+FFFD."""
+    digits = F.regexp_extract(e, "([0-9a-fA-F]+);", 1)
+    base = F.when(F.lower(e).startswith("&#x"), F.conv(digits, 16, 10)).otherwise(digits)
+    n = F.when(F.length(base) < 10, base.cast("bigint")).otherwise(-1)
+    sound = (n > 0) & (n < 0x110000) & ~n.between(0xD800, 0xDFFF)
+    return F.when(sound, F.decode(F.unhex(F.lpad(F.hex(n.cast("bigint")), 8, "0")), "UTF-32")).otherwise("\ufffd")
+
+
+def decoded(text: Column) -> Column:
+    """Character references decoded in one pass, so nothing is decoded twice; names that are not known stay."""
 
     def char(e: Column) -> Column:
-        digits = F.regexp_extract(e, "([0-9a-fA-F]+);", 1)
-        base = F.when(F.lower(e).startswith("&#x"), F.conv(digits, 16, 10)).otherwise(digits)
-        n = F.when(F.length(base) < 10, base.cast("bigint")).otherwise(-1)
-        sound = (n > 0) & (n < 0x110000) & ~n.between(0xD800, 0xDFFF)
-        return F.when(sound, F.decode(F.unhex(F.lpad(F.hex(n.cast("bigint")), 8, "0")), "UTF-32")).otherwise("\ufffd")
+        return F.when(e.startswith("&#"), _numeric(e)).otherwise(F.coalesce(lookup(ENTITIES, e), e))
 
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(NUMERIC_ENTITY), F.lit(0)))
-    return F.aggregate(found, text, lambda done, e: F.replace(done, e, char(e)))
+    return rewrite(text, ENTITY, char)
+
+
+def _without_nested(text: Column) -> Column:
+    """``text`` without the elements of ``_NESTING``, each up to the end tag that belongs to it, or to the end of the page.
+
+    One fold over the tags of these elements, which are few, with a counter of those of the same name that are open.
+    """
+    tag = rf"(?i)</?(?:{'|'.join(_NESTING)})\b[^>]*>"
+    pieces = lambda t: F.zip_with(
+        F.split(t, tag, -1), F.regexp_extract_all(t, F.lit(tag), F.lit(0)),
+        lambda gap, hit: F.struct(gap.alias("gap"), F.lower(F.regexp_extract(hit, "</?([A-Za-z]+)", 1)).alias("name"), F.startswith(hit, F.lit("</")).alias("ends")),
+    )
+    start = F.struct(F.lit("").alias("kept"), F.lit("").alias("within"), F.lit(0).alias("open"))
+
+    def step(state: Column, piece: Column) -> Column:
+        outside = state["within"] == ""
+        same = piece["name"] == state["within"]
+        opens = F.when(outside & ~piece["ends"], 1).when(~outside & same, state["open"] + F.when(piece["ends"], -1).otherwise(1)).otherwise(state["open"])
+        opens = F.coalesce(opens, F.lit(0))
+        name = F.when(opens == 0, "").when(outside, piece["name"]).otherwise(state["within"])
+        kept = F.when(outside, F.concat(state["kept"], F.lit(" "), piece["gap"])).otherwise(state["kept"])
+        return F.struct(kept.alias("kept"), name.alias("within"), opens.alias("open"))
+
+    return let(text, lambda t: F.when(t.rlike(tag), F.aggregate(pieces(t), start, step)["kept"]).otherwise(t))
 
 
 def technical_text(html: Column) -> Column:
-    """Visible text of a product page, one blank between pieces."""
+    """Visible text of a product page, one blank between pieces.
+
+    Elements without technical content go whole, those of their own kind inside them included; what an element without an end
+    tag began goes to the end of the page.
+    """
     text = F.regexp_replace(html, r"(?s)<!--.*?-->|<![^>]*>", " ")
-    for element in DROPPED_ELEMENTS:
-        if element == "embed":
-            text = F.regexp_replace(text, r"(?is)<embed\b[^>]*>", " ")
-        else:
-            text = F.regexp_replace(text, rf"(?is)<{element}\b[^>]*>.*?(?:</{element}\s*>|\z)", " ")
-    text = F.regexp_replace(text, r"(?s)<[/a-zA-Z][^>]*>", " ")
-    text = _numeric_decoded(text)
-    for entity, char in ENTITIES.items():
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return F.coalesce(squish(text), F.lit(""))
+    text = F.regexp_replace(text, rf"(?is)<({'|'.join(_RAW)})\b[^>]*>.*?(?:</\1\s*>|\z)", " ")
+    text = F.regexp_replace(_without_nested(text), r"(?s)<[/a-zA-Z][^>]*>", " ")
+    return F.coalesce(squish(decoded(text)), F.lit(""))
 
 
 def content_hash(c: Column) -> Column:

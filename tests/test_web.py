@@ -26,6 +26,9 @@ def test_allowlist(spark, url, want):
     [
         ("<p>&frac12; in &deg; &#8482; &#x2122; &eacute; &amp;lt; &#0; &#99999999999; &#xD800;", "½ in ° ™ ™ é &lt; � � �"),
         ("a<script>var x = 1", "a"), ("a<STYLE>p{}</style >b", "a b"), ("&copy; &middot; &nbsp;x", "© · x"), (None, ""),
+        ("a<nav>b<NAV class='x'>c</nav>d</nav>e", "a e"), ("a<nav>b<header>c</nav>d</header>e", "a d e"), ("a</nav>b<nav/>c", "a b"),
+        ("a<header>b<header>c</header>d", "a"), ("<nav>x<script>'</nav>'</script>y</nav>z", "z"), ("a<object><embed src='x'></object>b<embed>c", "a b c"),
+        ("a<navy>b</navy><headers>c", "a b c"), ("<style>a<style>b</style>c", "c"), ("&#38;lt; &unknown; &amp;amp; & x; &frac34;", "&lt; &unknown; &amp; & x; ¾"), ("", ""),
     ],
 )
 def test_technical_text(spark, html, want):
