@@ -16,6 +16,7 @@ QUICK = [
     "decimal_to_fraction", "invoice_compress", "html_technical_text", "resolve_entity", "evidence_snippets", "key_match",
     "input_validation", "latency_stats", "telemetry_snapshot", "review_current", "rolling_failure_rate", "rate_window_wide",
     "progress_stream", "enrich", "slot_align", "golden_compare", "schema_row_summary", "compliance_scorecard",
+    "file_fingerprint", "persist_related",
 ]
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 
