@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from partloom.functions.text import text_or
-from partloom.operators.common import first_by, last_by, materialize, same_key
+from partloom.operators.common import first_by, growing, last_by, materialize, same_key
 from partloom.functions.scoring import valid_lov
 from partloom.sources.tables import merge, row_id
 from partloom.vocab import DEFAULT, Vocabulary
@@ -212,7 +212,7 @@ def related_tables(enriched: DataFrame, batch: Column) -> dict[str, DataFrame]:
     product = row_id(F.col("Mfg_Part_Num"), F.col("Part_Desc"), F.col("Part_Manuf"))
     latest = enriched.groupBy(product.alias("product_id")).agg(F.max("_ordinal").alias("_ordinal"))
     latest = materialize(latest.withColumn("run_id", row_id(F.col("product_id"), batch)), "related-ids")
-    ids = lambda rows: rows.join(latest, "_ordinal")
+    ids = lambda rows: rows.join(growing(latest), "_ordinal")
     attributes = ids(persist_attributes(provenance_rows(enriched))).drop("product_id")
     return {
         "products": ids(persist_products(enriched)).drop("run_id"),

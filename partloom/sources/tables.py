@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partloom.operators.common import last_by, materialize
+from partloom.operators.common import growing, last_by, materialize
 
 BUCKETS = 64
 _BUCKET, _STATE = "_bucket", "_state"
@@ -51,14 +51,14 @@ def merge(spark: SparkSession, path: str, rows: DataFrame, key: str, order: Sequ
         new = given
     else:
         known = held.select(F.col(key).alias("_k"), F.col(_STATE).alias("_s"))
-        marked = given.select(key, _STATE, _BUCKET).join(known, F.col(key) == F.col("_k"), "left")
+        marked = given.select(key, _STATE, _BUCKET).join(growing(known), F.col(key) == F.col("_k"), "left")
         touched = marked.where(F.col("_s").isNull() | (F.col("_s") != F.col(_STATE))).select(_BUCKET).distinct()
     numbers = sorted(r[0] for r in touched.collect())
     if not numbers:
         return []
     if held is not None:
         here = F.col(_BUCKET).isin(numbers)
-        kept = held.where(here).join(given.where(here).select(key), key, "left_anti")
+        kept = held.where(here).join(growing(given.where(here).select(key)), key, "left_anti")
         new = materialize(kept.select(*given.columns).unionByName(given.where(here)), "merge-buckets")
     # one task for each bucket, and only the buckets at hand are replaced
     new.repartition(_BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(_BUCKET).parquet(path)
@@ -71,4 +71,4 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 def unresolved(child: DataFrame, reference: str, parent: DataFrame, key: str) -> DataFrame:
     """The rows of ``child`` that refer to no row of ``parent``; a null refers to nothing and is fine."""
-    return child.where(F.col(reference).isNotNull()).join(parent.select(F.col(key).alias(reference)), reference, "left_anti")
+    return child.where(F.col(reference).isNotNull()).join(growing(parent.select(F.col(key).alias(reference))), reference, "left_anti")
