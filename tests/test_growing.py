@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from partloom import queries as Q
 from partloom.operators import evaluate as E
 from partloom.operators.common import materialize
+from partloom.operators.master import lookup_join, prefix_join
 
 
 def plan(df):
@@ -29,6 +30,15 @@ def test_cells_of_records_are_not_broadcast(spark, sf):
         assert "Broadcast" not in plan(Q.QUERIES[name](spark, sf)), name
 
 
+def test_master_tables_are_not_broadcast(spark):
+    """Small files of many rows; the same tables as Spark would broadcast them."""
+    table = materialize(spark.range(3000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"), F.lit("v").alias("value")), "dimension")
+    rows = materialize(spark.range(3000).select("id", F.concat(F.lit("k"), F.col("id").cast("string")).alias("k")), "rows")
+    assert "Broadcast" in plan(rows.join(table, F.col("k") == F.col("key"), "left"))
+    for found in (lookup_join(rows, F.col("k"), table, "v"), prefix_join(rows, "id", F.col("k"), table, "v")):
+        assert "Broadcast" not in plan(found) and found.where("v = 'v'").count() == 3000
+
+
 def test_cleaned_cells_compare_as_whole_cells_do(spark):
     values = ["", " ", None, "n/a", "A\u00ae", " a ", "1.0", "1", "x", "None"]
     n = len(E.V.COMPARISON_FIELDS)
