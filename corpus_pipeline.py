@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from partloom.llm import exact_dedup, langid, mixing, odd_sketch, packing
+from partloom.llm import exact_dedup, langid, mixing, odd_sketch, packing, simhash
 from partloom.llm.queries import MIX_SEED, MIX_WEIGHTS, TOKENIZER
 from partloom.llm.storage import written
 
@@ -25,8 +25,9 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a similarity of 0.8 or more of their five-word shingles."""
-    return odd_sketch.drop_near_duplicates(docs, width=5, similarity=0.8)
+    """One document of each group linked by fingerprints (op10), and of what is left one of each group linked by a similarity
+    of 0.8 or more of their five-word shingles, most of which fingerprints do not show."""
+    return odd_sketch.drop_near_duplicates(simhash.drop_near_duplicates(docs), width=5, similarity=0.8)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
