@@ -17,8 +17,10 @@ from tokenizers import Tokenizer
 from partloom.llm.pretokens import piece_starts, symbol_table
 from partloom.llm.token_counts import in_batches
 
-#: A bound of memory, not of the data: beyond it remembered pieces are dropped and encoded again.
-MOST_PIECES = 1_000_000
+#: A bound of memory, not of the data: beyond it the pieces that were not met since the last time are dropped, and encoded again
+#: if they come back.  A Python worker serves many tasks and keeps what it once took, and a piece takes some 300 bytes.
+MOST_PIECES = 250_000
+_AT_ONCE = 8192
 
 
 class Encoder:
@@ -31,15 +33,21 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.symbols = symbol_table(self.tokenizer.pre_tokenizer)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
 
     def _learn(self, pieces: list[str]) -> None:
-        new = list(set(pieces).difference(self.known))
+        new = set(pieces).difference(self.known)
         if len(self.known) + len(new) > MOST_PIECES:
-            self.known.clear()
-            new = list(set(pieces))
-        for piece, found in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self.known[piece] = np.array(found.ids, "<u4").tobytes()
+            self.older, self.known = self.known, {}
+            new = set(pieces)
+        for piece in new.intersection(self.older):
+            self.known[piece] = self.older[piece]
+        rest = list(new.difference(self.older))
+        for at in range(0, len(rest), _AT_ONCE):
+            part = rest[at : at + _AT_ONCE]
+            for piece, found in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
+                self.known[piece] = np.array(found.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         plain = [t if not any(a in t for a in self.added) else "" for t in texts]
