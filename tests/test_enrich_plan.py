@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from partloom.operators import attributes as A
 from partloom.operators import delivery as D
-from partloom.plans import feeds
+from partloom.plans import feeds, store
 
 
 def test_evidence_is_read_in_many_tasks(spark, sf):
@@ -26,3 +26,12 @@ def test_lookup_of_slots_is_made_once(spark):
     plan = D.align_slots(specs)._jdf.queryExecution().optimizedPlan().toString()
     held = [line for line in plan.split("\n") if "map_from_entries(" in line]
     assert held and all("transform(array(map_from_entries(" in line for line in held)
+
+
+def test_rows_are_enriched_without_an_exchange(spark, sf, monkeypatch):
+    """Joined before, so that the long plan is optimized once, not again after every stage of the joins."""
+    written, held = store.materialize, {}
+    monkeypatch.setattr(store, "_WRITTEN", {})
+    monkeypatch.setattr(store, "materialize", lambda df, name: held.setdefault(name, df) if name == "enriched" else written(df, name))
+    store.enriched(spark, sf)
+    assert "Exchange" not in held["enriched"]._jdf.queryExecution().executedPlan().toString()
