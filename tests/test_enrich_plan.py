@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from partloom import queries as Q
 from partloom.operators import attributes as A
 from partloom.operators import delivery as D
 from partloom.plans import feeds, store
@@ -11,6 +12,10 @@ def test_evidence_is_read_in_many_tasks(spark, sf):
     assert feeds.evidence(spark, sf).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
 
 
+def test_texts_are_guarded_in_many_tasks(spark, sf):
+    assert Q.QUERIES["guardrails"](spark, sf).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
 def test_lines_are_cut_once(spark):
     text = spark.createDataFrame([("Rated voltage 120 V. Wall mount unit",), (None,), ("",)], "text string")
     found = text.select(A.snippets(F.col("text")).alias("s"))
