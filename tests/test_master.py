@@ -60,6 +60,28 @@ def test_index_finds_what_all_pairs_find(spark):
     assert fuzzy.best_brands(frame.limit(0), brands, 0.8).count() == 0 == fuzzy.best_brands(frame, brands.limit(0), 0.8).count()
 
 
+
+def test_few_pairs_are_scored_where_brands_share_most_of_their_text(spark, monkeypatch):
+    import hashlib
+
+    from partloom.operators import fuzzy
+
+    names = [f"{c} ring {hashlib.md5(f'{c}{i}'.encode()).hexdigest()[:5]}" for c in ("large", "small") for i in range(400)]
+    brands = spark.createDataFrame(list(enumerate(names)), "ord int, brand string")
+    wrong = {n[:2] + "x" + n[3:]: n for n in names} | {f"{n} tools": n for n in names}
+    real, scored = fuzzy.candidates, []
+
+    def counted(*args):
+        pairs = real(*args)
+        scored.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(fuzzy, "candidates", counted)
+    frame = spark.createDataFrame([(t,) for t in wrong], "text string")
+    assert {r["text"]: r["brand"] for r in fuzzy.best_brands(frame, brands, 0.8).collect()} == wrong
+    assert sum(scored) < 3 * len(wrong)
+
+
 def test_anchors_are_the_rarest_words(spark):
     import random
     import re
